@@ -4,7 +4,8 @@ Terms are runs of three words, or of five characters in scripts without spaces,
 resolved, compatibility forms and letter case folded, punctuation and layout dropped).
 
 1. Test items lose the opening line that they share with others: the longest beginning that ``SHARED_LEAD`` items have.
-2. Every document is read once and whole; the postings (term, document, position) of all test terms go to a table.
+2. Every document is read once and whole; the positional postings of all test terms go to a table that is sharded by
+   document, so that lists of one document meet without a shuffle.
 3. The document frequency of each term is counted over all documents. The rarest ``RAREST`` share of an item's terms
    are looked up first: their postings, each shifted back by the term's place in the item, must meet in one band of
    offsets. A document that holds an item's text from start to end meets there with every rare term, and one with half
@@ -29,8 +30,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.session import as_table
@@ -44,6 +44,8 @@ BAND = 64
 LEAST_RARE = 3
 LEAST_SHARE = 0.4
 MAX_TEST_CHARS = 32_000_000
+#: Places of items that a task looks at together.
+MOST_PLACES = 2_000_000
 
 _CJK = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 _TOKEN = re.compile(f"[{_CJK}]|[^\\W_{_CJK}]+")
@@ -108,35 +110,51 @@ def _shared_leads(items: dict[int, list[str]]) -> dict[int, int]:
 
 
 class TestTerms:
-    """Terms of the test items, and the words they consist of."""
+    """Terms of the test items: sorted, each with the places in items where it stands."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         plain = {int(i): words_of(t) for i, t in items if i is not None and t}
         leads = _shared_leads(plain)
-        rows: list[tuple[int, ...]] = []
         self.words: dict[str, tuple[int, bool]] = {}
-        for item, words in plain.items():
-            own = words[leads[item] :]
+        parts: list[tuple[np.ndarray, ...]] = []
+        self.items = np.array(sorted(plain), np.int64)
+        self.item_words, self.item_terms = np.zeros(len(self.items), np.int64), np.zeros(len(self.items), np.int64)
+        for number, item in enumerate(self.items.tolist()):
+            own = plain[item][leads[item] :]
             for word in own:
                 if word not in self.words:
                     self.words[word] = (_hash(word), _wide(word))
-            hashes = np.array([self.words[w][0] for w in own], np.uint64)
-            terms, lengths = terms_of(hashes, np.array([self.words[w][1] for w in own], bool))
+            terms, lengths = terms_of(np.array([self.words[w][0] for w in own], np.uint64), np.array([self.words[w][1] for w in own], bool))
             at = np.flatnonzero(lengths)
-            rows += zip([item] * len(at), terms[at].astype(np.int64).tolist(), at.tolist(), lengths[at].tolist(), [len(own)] * len(at), [len(at)] * len(at), strict=True)
-        self.rows = rows
-        self.terms = np.unique(np.array([r[1] for r in rows], np.int64))
+            self.item_words[number], self.item_terms[number] = len(own), len(at)
+            parts.append((terms[at].view(np.int64), np.full(len(at), number), at, lengths[at].astype(np.int64)))
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 4
+        order = np.argsort(columns[0], kind="stable")
+        term, self.of_item, self.item_at, self.length = (c[order] for c in columns)
+        self.terms, self.first, self.places = np.unique(term, return_index=True, return_counts=True)
+        self.rare = np.ones(len(term), bool)
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        """(item_id, term, item_at, length, item_words, item_terms)."""
-        return spark.createDataFrame(self.rows, "item_id long, term long, item_at int, length int, item_words int, item_terms int")
+    def keep_rarest(self, documents: dict[int, int]) -> None:
+        """Marks, per item, the places of its rarest terms; ``documents`` has how many documents hold each term."""
+        frequency = np.repeat(np.array([documents.get(t, 0) for t in self.terms.tolist()], np.int64), self.places)
+        order = np.lexsort((self.item_at, frequency, self.of_item))
+        starts = np.concatenate(([0], np.cumsum(self.item_terms)))[:-1]
+        rank = np.arange(len(order)) - starts[self.of_item[order]]
+        self.rare = np.zeros(len(order), bool)
+        self.rare[order] = rank < np.ceil(RAREST * self.item_terms[self.of_item[order]])
+
+
+_INDEX = "doc_id long, terms array<long>, places array<int>"
+
+
+def _lists(flat: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat, kind))
 
 
 def _post(words: dict[str, tuple[int, bool]], known: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_of = {w: h for w, (h, _) in words.items()}.get
-        wide_words = {h for h, w in words.values() if w}
-        wide_hashes = np.sort(np.array(list(wide_words), np.uint64))
+        wide_hashes = np.unique(np.array([h for h, w in words.values() if w], np.uint64))
         for batch in batches:
             ids, counts, hashes = [], [], []
             for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -146,83 +164,138 @@ def _post(words: dict[str, tuple[int, bool]], known: np.ndarray) -> Callable:
                 ids.append(doc)
                 counts.append(len(found) + 1)
             values = np.array(hashes, np.uint64)
-            wide = np.isin(values, wide_hashes)
-            terms, lengths = terms_of(values, wide)
+            terms, lengths = terms_of(values, np.isin(values, wide_hashes))
             at = np.flatnonzero(lengths)
-            place = np.searchsorted(known, terms[at].astype(np.int64))
-            hit = at[known[np.minimum(place, len(known) - 1)] == terms[at].astype(np.int64)] if len(known) else at[:0]
+            hit = at[np.isin(terms[at].view(np.int64), known)]
             starts = np.concatenate(([0], np.cumsum(counts)))
-            doc_at = np.searchsorted(starts, hit, "right") - 1
+            of = np.searchsorted(starts, hit, "right") - 1
+            ends = np.searchsorted(hit, starts[1:])
+            held = np.diff(np.concatenate(([0], ends))) > 0
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(terms[hit].astype(np.int64)),
-                    pa.array(np.array(ids, np.int64)[doc_at] if len(ids) else np.empty(0, np.int64)),
-                    pa.array((hit - starts[doc_at]).astype(np.int32)),
+                    pa.array(np.array(ids, np.int64)[held] if ids else np.empty(0, np.int64)),
+                    _lists(terms[hit].view(np.int64), ends[held], pa.int64()),
+                    _lists((hit - starts[of]).astype(np.int32), ends[held], pa.int32()),
                 ],
-                names=["term", "doc_id", "doc_at"],
+                names=["doc_id", "terms", "places"],
             )
 
     return run
 
 
 def postings(documents: DataFrame, doc_id: str, text: str, tests: TestTerms) -> DataFrame:
-    """(term, doc_id, doc_at) of every test term in every document, as a written table."""
+    """The index: per document the test terms it holds and their places, as a written table."""
     whole = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and length(text) > 0")
-    return as_table(whole.mapInArrow(_post(tests.words, tests.terms), "term long, doc_id long, doc_at int"), "postings")
+    return as_table(whole.mapInArrow(_post(tests.words, tests.terms), _INDEX), "postings")
+
+
+def document_frequency(index: DataFrame) -> DataFrame:
+    """(term, documents) over all documents; tasks count before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = batch.column(1).flatten().to_numpy()
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
+            order = np.lexsort((rows, terms))
+            terms, rows = terms[order], rows[order]
+            once = np.concatenate(([True], (np.diff(terms) != 0) | (np.diff(rows) != 0))) if len(terms) else np.empty(0, bool)
+            found, counts = np.unique(terms[once], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts.astype(np.int64))], names=["term", "documents"])
+
+    return index.mapInArrow(run, "term long, documents long").groupBy("term").agg(F.sum("documents").alias("documents"))
+
+
+def _longest(words: np.ndarray) -> int:
+    """Longest run of consecutive numbers in a sorted array."""
+    breaks = np.flatnonzero(np.diff(words) != 1)
+    return int(np.diff(np.concatenate(([-1], breaks, [len(words) - 1]))).max())
+
+
+def _meet(tests: TestTerms, docs: np.ndarray, terms: np.ndarray, places: np.ndarray, least_share: float) -> Iterator[tuple]:
+    """Matches among the postings of some documents (``docs`` numbers them from 0): (item, doc, term share, word share, longest phrase)."""
+    slot = np.searchsorted(tests.terms, terms)
+    times = tests.places[slot]
+    row = np.repeat(np.arange(len(terms)), times)
+    entry = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + tests.first[slot][row]
+    item = tests.of_item[entry]
+    pair = docs[row] * len(tests.items) + item
+    offset = places[row] - tests.item_at[entry]
+    rare = tests.rare[entry]
+    span = int(offset.max() - offset.min()) // BAND + 3 if len(offset) else 1
+    base = int(offset.min()) if len(offset) else 0
+    cells = np.concatenate([((pair[rare] * span + (offset[rare] - base + grid * BAND // 2) // BAND) * 2 + grid) for grid in (0, 1)])
+    cell, hits = np.unique(cells, return_counts=True)
+    cell, hits = cell[hits >= LEAST_RARE], hits[hits >= LEAST_RARE]
+    if not len(cell):
+        return
+    of_pair = cell // (2 * span)
+    order = np.lexsort((cell, -hits, of_pair))
+    best = order[np.concatenate(([True], np.diff(of_pair[order]) != 0))]
+    found, cell = of_pair[best], cell[best]
+    low = (cell // 2 % span) * BAND - (cell % 2) * (BAND // 2) + base
+    where = np.minimum(np.searchsorted(found, pair), len(found) - 1)
+    near = (found[where] == pair) & (offset >= low[where] - BAND // 2) & (offset < low[where] + BAND + BAND // 2)
+    where, entry = where[near], entry[near]
+    # each place of an item once
+    order = np.lexsort((tests.item_at[entry], where))
+    where, entry = where[order], entry[order]
+    once = np.concatenate(([True], (np.diff(where) != 0) | (np.diff(tests.item_at[entry]) != 0)))
+    where, entry = where[once], entry[once]
+    counts = np.bincount(where, minlength=len(found))
+    ends = np.cumsum(counts)
+    share = counts / tests.item_terms[found % len(tests.items)]
+    for k in np.flatnonzero(share >= least_share):
+        own = entry[ends[k] - counts[k] : ends[k]]
+        words = np.unique(np.concatenate([np.arange(a, a + n) for a, n in zip(tests.item_at[own], tests.length[own], strict=True)]))
+        number = int(found[k] % len(tests.items))
+        yield int(tests.items[number]), int(found[k] // len(tests.items)), float(share[k]), len(words) / int(tests.item_words[number]), _longest(words)
+
+
+def _match(tests: TestTerms, least_share: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            ends = batch.column(1).offsets.to_numpy()
+            terms, places = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            ends = ends - ends[0]
+            docs = np.repeat(np.arange(len(ids)), np.diff(ends))
+            # as many documents at a time as meet a bounded number of places
+            weight = np.concatenate(([0], np.cumsum(tests.places[np.searchsorted(tests.terms, terms)])))[ends]
+            out: list[tuple] = []
+            lo = 0
+            while lo < len(ids):
+                hi = max(lo + 1, int(np.searchsorted(weight, weight[lo] + MOST_PLACES, "right")) - 1)
+                part = slice(ends[lo], ends[hi])
+                out += _meet(tests, docs[part], terms[part], places[part], least_share)
+                lo = hi
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(columns[0], pa.int64()),
+                    pa.array(ids[np.array(columns[1], np.int64)], pa.int64()),
+                    pa.array(columns[2], pa.float64()),
+                    pa.array(columns[3], pa.float64()),
+                    pa.array(columns[4], pa.int32()),
+                ],
+                names=["item_id", "doc_id", "term_share", "covered_share", "longest_phrase"],
+            )
+
+    return run
 
 
 def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, least_share: float = LEAST_SHARE) -> DataFrame:
     """(item_id, doc_id, term_share, covered_share, longest_phrase) of the documents that hold the items."""
-    spark = documents.sparkSession
+    context = documents.sparkSession.sparkContext
     chosen = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     if (chars := chosen.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) > MAX_TEST_CHARS:
         raise ValueError(f"the test items hold {chars} characters, more than {MAX_TEST_CHARS}: run them in blocks")
     tests = TestTerms([tuple(r) for r in chosen.collect()])  # a stated query set, bounded above
     index = postings(documents, doc_id, text, tests)
-    table = tests.table(spark)
-
-    frequency = index.groupBy("term").agg(F.approx_count_distinct("doc_id").alias("documents"))
-    by_rarity = W.partitionBy("item_id").orderBy("documents", "term")
-    rare = (
-        table.join(frequency, "term")
-        .withColumn("rank", F.row_number().over(by_rarity))
-        .where(F.col("rank") <= F.ceil(F.col("item_terms") * F.lit(RAREST)))
-        .select("term", "item_id", "item_at")
-    )
-    offset = F.col("doc_at") - F.col("item_at")
-    grids = F.array(F.struct(F.lit(0).alias("grid"), F.floor(offset / BAND).alias("band")), F.struct(F.lit(1).alias("grid"), F.floor((offset + BAND // 2) / BAND).alias("band")))
-    met = (
-        index.join(F.broadcast(rare), "term")  # at most one row per term of the query set
-        .select("item_id", "doc_id", "item_at", F.explode(grids).alias("cell"))
-        .groupBy("item_id", "doc_id", "cell")
-        .agg(F.count("*").alias("hits"))
-        .where(F.col("hits") >= LEAST_RARE)
-        .groupBy("item_id", "doc_id")
-        .agg(F.max_by("cell", "hits").alias("cell"))
-    )
-    low = F.col("cell.band") * BAND - F.when(F.col("cell.grid") == 1, BAND // 2).otherwise(0)
-    places = (
-        index.join(F.broadcast(table), "term")
-        .join(met, ["item_id", "doc_id"])
-        .where((offset >= low - BAND // 2) & (offset < low + BAND + BAND // 2))
-        .groupBy("item_id", "doc_id", "item_words", "item_terms")
-        .agg(F.array_sort(F.collect_set(F.struct("item_at", "length"))).alias("places"))  # at most the terms of one item
-    )
-    covered = places.withColumn("words", F.array_sort(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["item_at"], p["item_at"] + p["length"] - 1))))))
-    phrase = F.aggregate(
-        "words",
-        F.struct(F.lit(0).alias("run"), F.lit(-2).alias("last"), F.lit(0).alias("best")),
-        lambda s, w: F.struct(
-            F.when(w == s["last"] + 1, s["run"] + 1).otherwise(1).alias("run"),
-            w.alias("last"),
-            F.greatest(s["best"], F.when(w == s["last"] + 1, s["run"] + 1).otherwise(1)).alias("best"),
-        ),
-        lambda s: s["best"],
-    )
-    return covered.select(
-        "item_id",
-        "doc_id",
-        (F.size("places") / F.col("item_terms")).alias("term_share"),
-        (F.size("words") / F.col("item_words")).alias("covered_share"),
-        phrase.alias("longest_phrase"),
-    ).where(F.col("term_share") >= least_share)
+    tests.keep_rarest({r[0]: r[1] for r in document_frequency(index).collect()})  # at most one row per term of the query set
+    shared = context.broadcast(tests)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _match(shared.value, least_share)(batches)
+
+    found = index.mapInArrow(run, "item_id long, doc_id long, term_share double, covered_share double, longest_phrase int")
+    return found.groupBy("item_id", "doc_id").agg(*[F.max(c).alias(c) for c in ("term_share", "covered_share", "longest_phrase")])
