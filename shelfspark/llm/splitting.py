@@ -29,11 +29,13 @@ SEGMENT_LIMIT_MS, SEGMENT_OVERLAP_MS = 60_000, 2_000
 #: A piece is at least this share of the limit, unless it is the last.
 LEAST_SHARE = 0.6
 BLOCK = 1 << 16
+TIME_BLOCK = 1 << 20
 
 PARAGRAPH, LINE, SENTENCE, CLAUSE, SPACE, PLAIN, TORN = 6, 5, 4, 3, 2, 1, 0
 
-#: White space as a regular expression for Java: what Python's ``str.isspace`` accepts.
-BLANK = r"[\s\p{Z}\x1C-\x1F\x85]"
+#: White space: what Python's ``str.isspace`` accepts.
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+_BLANK_CODES = np.array([ord(c) for c in BLANKS], "<u4")
 
 # The characters that end sentences and clauses.
 _ENDS = ".!?…。！？｡"
@@ -61,21 +63,28 @@ class RangeMax:
 
 
 class StrongestCut:
-    """The strongest cut in a window of positions, rightmost among equals; ``strengths(lo, hi)`` gives those of a block."""
+    """The strongest cut in a window of positions, rightmost among equals.
 
-    def __init__(self, strengths: Callable[[int, int], np.ndarray], end: int, widest: int) -> None:
-        self.strengths, self.end, self.widest = strengths, end, widest
+    ``candidates(lo, hi)`` gives the positions lo..hi - 1 at which a cut may stand, in order, and their strengths; the
+    table is built over ``block`` positions at a time. Where a window holds no candidate, its end is cut with strength 0.
+    """
+
+    def __init__(self, candidates: Callable[[int, int], tuple[np.ndarray, np.ndarray]], end: int, widest: int, block: int = BLOCK) -> None:
+        self.candidates, self.end, self.widest, self.block = candidates, end, widest, block
         self.lo = self.hi = 0
         self.table: RangeMax | None = None
 
     def between(self, lo: int, hi: int) -> tuple[int, int]:
         """(position, strength) for lo <= position <= hi."""
         if self.table is None or lo < self.lo or hi >= self.hi:
-            self.lo, self.hi = lo, min(self.end, lo + max(BLOCK, hi - lo) + 1)
-            strength = self.strengths(self.lo, self.hi).astype(np.int64)
-            self.table = RangeMax(strength << 32 | np.arange(len(strength)), self.widest)
-        best = self.table.over(lo - self.lo, hi - self.lo)
-        return (best & 0xFFFFFFFF) + self.lo, best >> 32
+            self.lo, self.hi = lo, min(self.end, lo + max(self.block, hi - lo) + 1)
+            self.at, strength = self.candidates(self.lo, self.hi)
+            self.table = RangeMax(strength.astype(np.int64) << 32 | np.arange(len(strength)), self.widest)
+        first, last = np.searchsorted(self.at, lo), np.searchsorted(self.at, hi, "right") - 1
+        if first > last:
+            return hi, 0
+        best = self.table.over(int(first), int(last))
+        return int(self.at[best & 0xFFFFFFFF]), best >> 32
 
 
 def cut(start: int, end: int, limit: int, overlap: int, least: int, cuts: StrongestCut) -> Iterator[tuple[int, int, int | None]]:
@@ -135,33 +144,27 @@ def split_text(text: str, limit: int = TEXT_LIMIT, overlap: int = TEXT_OVERLAP,
     if end - start <= limit:
         return [(start, end, None)]
     chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    spaces = np.array([c for c in range(0x3001) if chr(c).isspace()], "<u4")
     margin = 64  # context before a block, so that white space before it is seen
 
-    def strengths(lo: int, hi: int) -> np.ndarray:
+    def candidates(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         part = chars[max(0, lo - margin) : hi]
-        return text_strengths(part, np.isin(part, spaces))[lo - max(0, lo - margin) :]
+        return np.arange(lo, hi), text_strengths(part, np.isin(part, _BLANK_CODES))[lo - max(0, lo - margin) :]
 
-    return list(cut(start, end, limit, overlap, least, StrongestCut(strengths, end, limit - least + 1)))
+    return list(cut(start, end, limit, overlap, least, StrongestCut(candidates, end, limit - least + 1)))
 
 
 def split_segment(start_ms: int, end_ms: int, grid_ms: int | None, limit: int = SEGMENT_LIMIT_MS, overlap: int = SEGMENT_OVERLAP_MS, least_share: float = LEAST_SHARE) -> list[tuple[int, int, int | None]]:
-    """Pieces of a stretch of time. Strengths: 3 on the grid of the video's chunks, 2 on whole seconds, 1 elsewhere.
-
-    Positions are counted from the start in milliseconds.
-    """
+    """Pieces of a stretch of time. Strengths: 2 on the grid of the video's chunks, 1 on other whole seconds, 0 elsewhere."""
     least = max(overlap + 1, int(limit * least_share))
 
-    def strengths(lo: int, hi: int) -> np.ndarray:
-        at = np.arange(lo + start_ms, hi + start_ms)
-        out = np.where(at % 1000 == 0, 2, 1).astype(np.uint8)
+    def candidates(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.arange(-(-lo // 1000) * 1000, hi, 1000)
         if grid_ms and grid_ms > 0:
-            out[at % grid_ms == 0] = 3
-        return out
+            at = np.union1d(at, np.arange(-(-lo // grid_ms) * grid_ms, hi, grid_ms))
+            return at, np.where(at % grid_ms == 0, 2, 1)
+        return at, np.ones(len(at), np.int64)
 
-    length = end_ms - start_ms
-    pieces = cut(0, length, limit, overlap, least, StrongestCut(strengths, length, limit - least + 1))
-    return [(a + start_ms, b + start_ms, s) for a, b, s in pieces]
+    return list(cut(start_ms, end_ms, limit, overlap, least, StrongestCut(candidates, end_ms, limit + 2, TIME_BLOCK)))
 
 
 _TEXT_PIECES = "record_no long, piece_no int, start_character long, end_character long, cut_strength int, text string"
@@ -204,7 +207,7 @@ def _segment_task(limit: int, overlap: int) -> Callable:
 
 def trimmed(text: Column) -> Column:
     """A text without white space at its ends."""
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def text_pieces(rows: DataFrame, record_no: str, text: str, start_character: str, limit: int = TEXT_LIMIT, overlap: int = TEXT_OVERLAP) -> DataFrame:
@@ -214,8 +217,7 @@ def text_pieces(rows: DataFrame, record_no: str, text: str, start_character: str
     ).where("text is not null")
     # the whole text is at least as long as the trimmed one, so most rows are told apart without trimming
     over = (F.length("text") > limit) & (F.length(trimmed(F.col("text"))) > limit)
-    body = F.regexp_replace("text", f"^{BLANK}+", "")
-    lead = F.length("text") - F.length(body)
+    lead = F.length("text") - F.length(F.ltrim(F.col("text"), F.lit(BLANKS)))
     whole = (
         typed.where(~over)
         .select("record_no", "base", lead.alias("lead"), trimmed(F.col("text")).alias("text"))
