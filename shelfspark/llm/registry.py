@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import history_queries, leakage_queries, mixing_queries, neighbour_queries, percentile_queries, splitting_queries
+from shelfspark.llm import history_queries, leakage_queries, mixing_queries, neighbour_queries, percentile_queries, splitting_queries, stuffing_queries
 
-_MODULES = [history_queries, splitting_queries, percentile_queries, mixing_queries, leakage_queries, neighbour_queries]
+_MODULES = [history_queries, splitting_queries, percentile_queries, mixing_queries, leakage_queries, neighbour_queries, stuffing_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
