@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.queries import intervals
+from shelfspark.queries import intervals, retrieval
 
-_MODULES = [intervals]
+_MODULES = [intervals, retrieval]
 FLAGSHIP = "p3_found"
 
 
