@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.queries import intervals, retrieval
+from shelfspark.queries import assets, intervals, retrieval
 
-_MODULES = [intervals, retrieval]
+_MODULES = [intervals, retrieval, assets]
 FLAGSHIP = "p3_found"
 
 
