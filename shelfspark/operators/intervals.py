@@ -156,7 +156,11 @@ def block_maps(intervals: DataFrame, block_ms: int = BLOCK_MS) -> DataFrame:
 
 def periods_and_gaps(intervals: DataFrame, block_ms: int = BLOCK_MS) -> DataFrame:
     """(record_table, entity, span_kind, start_ms, end_ms) of the periods and the gaps of each entity."""
-    maps = as_table(block_maps(intervals, block_ms), "interval-maps")
+    return joined_blocks(as_table(block_maps(intervals, block_ms), "interval-maps"))
+
+
+def joined_blocks(maps: DataFrame) -> DataFrame:
+    """Periods and gaps from the maps of all blocks, which should be a written table as it is read twice."""
     key = ["record_table", "entity", "block"]
     entity = W.partitionBy("record_table", "entity").orderBy("block")
     before = maps.select(*key, F.array_max("ends").alias("furthest")).select(

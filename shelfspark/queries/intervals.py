@@ -29,7 +29,7 @@ def p3_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_SPANS = """
+SPANS = """
 with raw as (
   select 'chunk_segments' as record_table, video_key as entity_key, start_seconds as s, end_seconds as e from chunk_segments
   union all
@@ -57,8 +57,8 @@ with raw as (
 QUERIES = {"p3_found": p3_found, "p3_coverage": p3_coverage}
 
 ORACLES = {
-    "p3_found": _SPANS + "select record_table, entity_key, span_kind, start_ms, end_ms from spans",
-    "p3_coverage": _SPANS
+    "p3_found": SPANS + "select record_table, entity_key, span_kind, start_ms, end_ms from spans",
+    "p3_coverage": SPANS
     + """select record_table, entity_key,
   count(*) filter (where span_kind = 'period') as periods,
   count(*) filter (where span_kind = 'gap') as gaps,

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.queries import assets, intervals, retrieval
+from shelfspark.queries import assets, intervals, media, performance, retrieval, streams
 
-_MODULES = [intervals, retrieval, assets]
-FLAGSHIP = "p3_found"
+_MODULES = [intervals, retrieval, assets, media, performance, streams]
+FLAGSHIP = "q1_asset_search"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
