@@ -251,7 +251,7 @@ def _meet(tests: TestTerms, docs: np.ndarray, terms: np.ndarray, places: np.ndar
         yield int(tests.items[number]), int(found[k] // len(tests.items)), float(share[k]), len(words) / int(tests.item_words[number]), _longest(words)
 
 
-def _match(tests: TestTerms, least_share: float) -> Callable:
+def _match(tests: TestTerms, least_share: float, most_places: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -264,7 +264,7 @@ def _match(tests: TestTerms, least_share: float) -> Callable:
             out: list[tuple] = []
             lo = 0
             while lo < len(ids):
-                hi = max(lo + 1, int(np.searchsorted(weight, weight[lo] + MOST_PLACES, "right")) - 1)
+                hi = max(lo + 1, int(np.searchsorted(weight, weight[lo] + most_places, "right")) - 1)
                 part = slice(ends[lo], ends[hi])
                 out += _meet(tests, docs[part], terms[part], places[part], least_share)
                 lo = hi
@@ -283,7 +283,7 @@ def _match(tests: TestTerms, least_share: float) -> Callable:
     return run
 
 
-def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, least_share: float = LEAST_SHARE) -> DataFrame:
+def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, least_share: float = LEAST_SHARE, most_places: int = MOST_PLACES) -> DataFrame:
     """(item_id, doc_id, term_share, covered_share, longest_phrase) of the documents that hold the items."""
     context = documents.sparkSession.sparkContext
     chosen = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
@@ -295,7 +295,7 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     shared = context.broadcast(tests)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _match(shared.value, least_share)(batches)
+        return _match(shared.value, least_share, most_places)(batches)
 
     found = index.mapInArrow(run, "item_id long, doc_id long, term_share double, covered_share double, longest_phrase int")
     return found.groupBy("item_id", "doc_id").agg(*[F.max(c).alias(c) for c in ("term_share", "covered_share", "longest_phrase")])

@@ -73,7 +73,7 @@ class Model:
         self.apart = np.sqrt(np.maximum(apart, 1e-12))
 
     @classmethod
-    def train(cls, sample: np.ndarray, rows: int) -> Model:
+    def train(cls, sample: np.ndarray, rows: int, part_rows: int = PART_ROWS) -> Model:
         lists = 1 << max(0, round(math.log2(max(1, rows) ** 0.4)))
         centroids = _means(sample, lists, 1)
         own = np.argmin((centroids * centroids).sum(1) - 2 * sample @ centroids.T, axis=1)
@@ -81,7 +81,7 @@ class Model:
         width = sample.shape[1] // PARTS
         books = np.stack([_means(np.ascontiguousarray(rest[:, k * width : (k + 1) * width]), 256, 2 + k) for k in range(PARTS)])
         expected = np.bincount(own, minlength=len(centroids)) * (rows / len(sample))
-        return cls(centroids, books, np.maximum(1, np.ceil(expected / PART_ROWS)).astype(np.int64))
+        return cls(centroids, books, np.maximum(1, np.ceil(expected / part_rows)).astype(np.int64))
 
     def distances(self, vectors: np.ndarray) -> np.ndarray:
         """Squared distances to the centroids."""
@@ -129,7 +129,7 @@ def _unit(batch: pa.RecordBatch, column: int) -> np.ndarray:
     return (values / np.sqrt((values * values).sum(1, keepdims=True))).astype(np.float32)
 
 
-def train(vectors: DataFrame, sample: int = SAMPLE) -> dict[str, Model]:
+def train(vectors: DataFrame, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> dict[str, Model]:
     """One model per space. The samples are drawn by a hash of the row number and trained in tasks; only models reach the driver."""
     counts = {r[0]: r[1] for r in vectors.groupBy("space").count().limit(MAX_SPACES + 1).collect()}
     if len(counts) > MAX_SPACES:
@@ -146,7 +146,7 @@ def train(vectors: DataFrame, sample: int = SAMPLE) -> dict[str, Model]:
         values /= np.abs(values).max(1, keepdims=True)
         values = (values / np.sqrt((values * values).sum(1, keepdims=True))).astype(np.float32)
         name = frame["space"].iloc[0]
-        model = Model.train(values, counts[name])
+        model = Model.train(values, counts[name], part_rows)
         return pd.DataFrame(
             {"space": [name], "centroids": [model.centroids.tobytes()], "books": [model.books.tobytes()], "entries": [model.books.shape[1]], "parts": [model.parts.tobytes()], "width": [values.shape[1]]}
         )
@@ -324,9 +324,9 @@ def classes(vectors: DataFrame) -> DataFrame:
     return as_table(marked.join(first, ["space", "h", "g"]).select("first_no", "record_no").distinct(), "classes")
 
 
-def representative_pairs(vectors: DataFrame, least: float, copies: DataFrame) -> DataFrame:
+def representative_pairs(vectors: DataFrame, least: float, copies: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """(first_no, second_no, similarity) of the first rows of all classes that are at least ``least`` alike."""
-    models = train(vectors)
+    models = train(vectors, part_rows=part_rows)
     reach = math.sqrt(2 - 2 * least)
 
     def visits(model: Model, numbers: np.ndarray, far: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -360,10 +360,10 @@ def representative_pairs(vectors: DataFrame, least: float, copies: DataFrame) ->
     return placed.mapInArrow(run, "first_no long, second_no long, similarity double").groupBy("first_no", "second_no").agg(F.max("similarity").alias("similarity"))
 
 
-def pairs_within(vectors: DataFrame, least: float) -> DataFrame:
+def pairs_within(vectors: DataFrame, least: float, part_rows: int = PART_ROWS) -> DataFrame:
     """(first_no, second_no): all pairs of rows of one space that are at least ``least`` alike, copies included."""
     copies = classes(vectors)
-    between = as_table(representative_pairs(vectors, least, copies), "between").select("first_no", "second_no")
+    between = as_table(representative_pairs(vectors, least, copies, part_rows), "between").select("first_no", "second_no")
     # every first row stands for itself; classes of one row need no entry in the table of copies
     of = lambda side, name: copies.select(F.col("first_no").alias(side), F.col("record_no").alias(name))
     wide = (
@@ -375,9 +375,9 @@ def pairs_within(vectors: DataFrame, least: float) -> DataFrame:
     return wide.unionByName(inside).select(F.least("a", "b").alias("first_no"), F.greatest("a", "b").alias("second_no"))
 
 
-def most_similar(vectors: DataFrame, is_query: Callable[[np.ndarray], np.ndarray], k: int = 10, visited: float = 1 / 12) -> DataFrame:
+def most_similar(vectors: DataFrame, is_query: Callable[[np.ndarray], np.ndarray], k: int = 10, visited: float = 1 / 12, part_rows: int = PART_ROWS) -> DataFrame:
     """(record_no, rank, neighbour_no, similarity): the ``k`` most similar rows of the same space for each query row."""
-    models = train(vectors)
+    models = train(vectors, part_rows=part_rows)
 
     def visits(model: Model, numbers: np.ndarray, far: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = np.flatnonzero(is_query(numbers))
