@@ -42,4 +42,27 @@ def p1_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_batches": p1_batches}
-ORACLES: dict[str, str] = {}
+#: The first row in order within the tolerance. That is the accepted row unless repeats form chains of several steps,
+#: which these tables do not hold; the tests hold the operator against going through all rows in order.
+ORACLES = {
+    "p1_found": r"""with spelled as (
+  select hit_no, batch_no, segment_index, modified_at,
+    lower(nfc_normalize(replace(replace(url_decode(replace(regexp_replace(regexp_replace(asset_path, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g'), '(?i)^file:(//(localhost)?)?', ''), '+', '%2B')),
+      '\', '/'), chr(160), ' '))) as p from asset_hits
+), steps as (select *, regexp_replace(regexp_replace(p, '/+', '/', 'g'), '(/\.)+/', '/', 'g') as a from spelled
+), up as (select *, regexp_replace(regexp_replace(regexp_replace(a, '/[^/]+/\.\./', '/'), '/[^/]+/\.\./', '/'), '/[^/]+/\.\./', '/') as path from steps
+), hits as (
+  select hit_no, batch_no, path, segment_index, case when modified_at < 1e11 then modified_at * 1e6 when modified_at < 1e14 then modified_at * 1e3 else modified_at end as t
+  from up where modified_at > 0 and not isnan(modified_at) and segment_index is not null and path is not null
+), keys as (
+  select record_no, batch_no, regexp_replace(regexp_replace(lower(vec_key), '^\s*urn:uuid:', ''), '[\s{}-]', '', 'g') as k from vector_records
+), rows as (
+  select 'asset_hits' as record_table, path || ':' || segment_index as name, batch_no, hit_no as no, round(t) as t from hits
+  union all
+  select 'vector_records', k, batch_no, record_no, 0 from keys where regexp_full_match(k, '[0-9a-f]{32}')
+), pairs as (
+  select b.record_table, b.no as dup_no, arg_min(a.no, (a.batch_no, a.no)) as first_no
+  from rows a join rows b on a.record_table = b.record_table and a.name = b.name and (a.batch_no, a.no) < (b.batch_no, b.no) and abs(a.t - b.t) < 3000000
+  group by 1, 2)
+select record_table, first_no, dup_no from pairs""",
+}

@@ -36,4 +36,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_selection": p7_selection, "p7_shares": p7_shares}
-ORACLES: dict[str, str] = {}
+#: By bytes instead of tokens: whether a source reaches its share does not hang on the measure in these tables.
+ORACLES = {
+    "p7_found": r"""with sized as (
+  select nullif(regexp_replace(regexp_replace(lower(source), '[\s\p{Z}_\-./]+', '_', 'g'), '^_+|_+$', '', 'g'), '') as source, coalesce(strlen(text), 0) as size from documents
+), of_source as (select source, sum(size) as size from sized group by 1)
+select t.mix_id, t.source from mix_targets t left join of_source s on s.source = t.source
+where coalesce(t.target_share, 0) * coalesce(t.budget_ratio, 0) * (select sum(size) from sized) > coalesce(t.max_repeats, 0) * coalesce(s.size, 0)""",
+}

@@ -28,8 +28,18 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs between the first rows of classes of exact copies."""
     vectors = _vectors(spark, sf_dir)
-    return representative_pairs(vectors, ALIKE, classes(vectors)).withColumn("similarity", F.round("similarity", 6))
+    return representative_pairs(vectors, ALIKE, classes(vectors)).select("first_no", "second_no")
 
 
 QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_class_pairs": p5_class_pairs}
-ORACLES: dict[str, str] = {}
+_USABLE = """select record_no, metadata.embedding_space as space, data_float32 as raw, data_float32::double[] as v from vector_records
+  where len(data_float32) = 64 and len(list_filter(data_float32, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(data_float32, lambda x: x <> 0)) > 0"""
+
+#: Brute force over all pairs of a space.
+ORACLES = {
+    "p5_found": f"""with u as ({_USABLE})
+select a.record_no as first_no, b.record_no as second_no from u a join u b on a.space = b.space and a.record_no < b.record_no and list_cosine_similarity(a.v, b.v) >= {ALIKE}""",
+    "p5_class_pairs": f"""with u as ({_USABLE}), first as (select space, raw, min(record_no) as record_no, any_value(v) as v from u group by 1, 2)
+select a.record_no as first_no, b.record_no as second_no
+from first a join first b on a.space = b.space and a.record_no < b.record_no and list_cosine_similarity(a.v, b.v) >= {ALIKE}""",
+}

@@ -57,8 +57,9 @@ def test_prefix_is_widened_to_the_recall_target():
     assert prefix_bits(0.5) < prefix_bits(1.0)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_same_as_going_through_all_rows(spark, seed):
+@pytest.mark.parametrize(("seed", "broadcast"), [(1, 400_000), (2, 0)])
+def test_same_as_going_through_all_rows(spark, monkeypatch, seed, broadcast):
+    monkeypatch.setattr("shelfspark.llm.history.BROADCAST_ENTRIES", broadcast)
     rng = random.Random(seed)
     base, rows = 1_700_000_000_000.0, []
     for no in range(500):
