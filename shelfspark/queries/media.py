@@ -10,7 +10,7 @@ from shelfspark.functions.media import chunk_plan, clock, frame_budget, stamped
 from shelfspark.functions.text import collapsed, normalized_text, preview, space_slug
 from shelfspark.operators import chunking, video
 from shelfspark.operators.intervals import whole_ms
-from shelfspark.sources.tables import table
+from shelfspark.sources.tables import spread, table
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +132,7 @@ def x3_caption_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f2_document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of every document."""
-    return chunking.document_chunks(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("characters", F.length("text")).drop("text")
+    return chunking.document_chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").withColumn("characters", F.length("text")).drop("text")
 
 
 def f1_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:

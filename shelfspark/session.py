@@ -41,9 +41,20 @@ def work_dir(spark: SparkSession) -> str:
     return named
 
 
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    return os.path.join(work_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    _made.append(os.path.join(work_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}"))
+    return _made[-1]
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete what this process wrote below the shared folder. Results that have not been written are lost."""
+    while _made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def as_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
