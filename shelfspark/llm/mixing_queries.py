@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm.mixing import budgets, selection, shares, sized, thresholds
-from shelfspark.sources.tables import table
+from shelfspark.sources.tables import spread, table
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sized(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return sized(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), "doc_id", "text", "source")
 
 
 def _planned(spark: SparkSession, sf_dir: str, sizes: DataFrame) -> DataFrame:
