@@ -44,7 +44,17 @@ def x15_first_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("event_id long, event_type string, at timestamp").parquet(path).groupBy("event_type").agg(F.count("*").alias("events"))
 
 
-QUERIES = {f.__name__: f for f in (x6_interval_stream, x5_drained_batches, x15_first_arrivals)}
+def d7_distinct_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per user whose value differs in enough bits from the last accepted one within a day."""
+    path, checkpoint = fresh_path(spark, "frames"), fresh_path(spark, "progress")
+    code = F.lpad(F.hex(F.round(F.col("value") * 100).cast("long")), 16, "0")
+    stream = table_stream(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("video"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), code.alias("hash"))
+    keyed.run_to_table(keyed.distinct_frames(stream, bits=4, seconds=86_400.0), path, checkpoint)
+    kept = spark.read.schema("video string, at double, hash string").parquet(path)
+    return kept.groupBy("video").agg(F.count("*").alias("kept"), F.round(F.max("at"), 3).alias("last_at"))
+
+
+QUERIES = {f.__name__: f for f in (x6_interval_stream, x5_drained_batches, x15_first_arrivals, d7_distinct_frames)}
 
 ORACLES = {
     "x6_interval_stream": SPANS + "select record_table, entity_key, span_kind, start_ms, end_ms from spans where record_table = 'chunk_segments'",
