@@ -86,6 +86,30 @@ class VectorStore:
             self._replace(index, space, own.join(keys.select("key").distinct(), "key", "left_anti").select("key", "vector", "metadata", "written_ms"))
         return gone
 
+    def purge(self, index: str, space: str, condition: Column) -> int:
+        """Delete the rows of one space that meet a condition; rows for which it is null stay."""
+        return self.delete(index, space, self.read(index, space, condition).select("key"))
+
+    def patch(self, index: str, space: str, condition: Column, values: dict[str, str], now_ms: int) -> int:
+        """Set metadata fields of the rows that meet a condition, vectors untouched; returns how many there are."""
+        meets = F.coalesce(condition, F.lit(False))
+        own = self.read(index, space)
+        count = own.where(meets).count()
+        if count:
+            new = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+            kept = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(*values))
+            self._replace(
+                index,
+                space,
+                own.select(
+                    "key",
+                    "vector",
+                    F.when(meets, F.map_concat(kept, new)).otherwise(F.col("metadata")).alias("metadata"),
+                    F.when(meets, F.lit(now_ms)).otherwise(F.col("written_ms")).cast("long").alias("written_ms"),
+                ),
+            )
+        return count
+
     def search(self, index: str, space: str, query: list[float], limit: int, condition: Column | None = None) -> DataFrame:
         """The most similar rows that meet a condition."""
         from shelfspark.operators.search import top_k

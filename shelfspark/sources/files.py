@@ -52,6 +52,12 @@ def plain_texts(spark: SparkSession, root: str, most_bytes: int = MOST_TEXT_BYTE
     return checked.select("path", F.nullif("text", F.lit("")).alias("text"), F.coalesce("problem", F.when(F.col("text") == "", "empty")).alias("problem"))
 
 
+def images(spark: SparkSession, root: str, most_bytes: int = MOST_IMAGE_BYTES) -> DataFrame:
+    """(path, content) of the images that are not too large; the limit on the size is applied before a file is read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= most_bytes)
+    return rows.where(kind_of(extension(F.col("path"))) == "image").select("path", "content")
+
+
 def formats(word: bool = False, pdf: bool = False) -> list[dict[str, object]]:
     """Groups of document formats and whether a reader for them is plugged in."""
     return [

@@ -75,6 +75,9 @@ def test_store_round_trip(spark):
             shelf.upsert("i", "s", rows(bad))
     assert shelf.delete("i", "s", spark.createDataFrame([("one",), ("nope",), ("one",)], "key string")) == 1
     assert {(r.space, r["count"]) for r in shelf.counts().collect()} == {("s", 1), ("other", 1)}
+    assert shelf.patch("i", "s", F.col("key") == "two", {"kind": "note", "title": "t"}, 9) == 1 and shelf.patch("i", "s", F.col("key") == "x", {"a": "b"}, 9) == 0
+    assert [(r.metadata, r.written_ms, r.vector) for r in shelf.read("i", "s").collect()] == [({"kind": "note", "title": "t"}, 9, [0.0, 1.0, 0.0])]
+    assert shelf.purge("i", "s", F.col("metadata.kind") == "note") == 1 and shelf.read("i", "s").count() == 0
 
 
 def test_lookup_order(spark):

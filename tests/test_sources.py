@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from shelfspark.sources import files
+from shelfspark.sources.paged import PagedVectors
 
 
 def test_walk(spark, tmp_path):
@@ -37,3 +38,47 @@ def test_caption_events(spark):
     rows = spark.createDataFrame([(payload,), ("no json",), (None,)], "p string").select(files.caption_events(F.col("p")).alias("c")).collect()
     assert [tuple(x) for x in rows[0].c] == [(1.0, 1.5, "ab")] and not rows[1].c and not rows[2].c
     assert {f["id"]: f["available"] for f in files.formats(pdf=True)} == {"plain": True, "word": False, "pdf": True}
+
+
+def test_images(spark, tmp_path):
+    (tmp_path / "small.png").write_bytes(b"x" * 10)
+    (tmp_path / "large.png").write_bytes(b"x" * 100)
+    (tmp_path / "note.txt").write_bytes(b"x")
+    assert [r.path.rsplit("/", 1)[-1] for r in files.images(spark, str(tmp_path), 50).collect()] == ["small.png"]
+
+
+def test_paged_vectors(spark, tmp_path):
+    folder = str(tmp_path)
+
+    class Folder(PagedVectors):
+        @classmethod
+        def name(cls):
+            return "folder_vectors"
+
+        @staticmethod
+        def connect():
+            class Client:
+                def shards(self, index):
+                    return [0, 1]
+
+                def page(self, index, shard, token, size):
+                    at = token or 0
+                    rows = [(f"{index}-{shard}-{k}", [float(k), 1.0], {"n": str(k)}) for k in range(at, min(at + size, 7))]
+                    return rows, at + size if at + size < 7 else None
+
+                def put(self, index, rows):
+                    with open(f"{folder}/put-{rows[0][0]}", "w") as out:
+                        out.write(str(len(rows)))
+
+                def delete(self, index, keys):
+                    with open(f"{folder}/delete-{keys[0]}", "w") as out:
+                        out.write(",".join(keys))
+
+            return Client()
+
+    spark.dataSource.register(Folder)
+    rows = spark.read.format("folder_vectors").option("index", "i").option("page_size", 3).load()
+    assert rows.count() == 14 and {r.key for r in rows.where("metadata['n'] = '6'").collect()} == {"i-0-6", "i-1-6"}
+    rows.coalesce(1).write.format("folder_vectors").option("index", "i").mode("append").save()
+    rows.where("key = 'i-0-1'").coalesce(1).write.format("folder_vectors").option("index", "i").option("operation", "delete").mode("append").save()
+    assert (tmp_path / "put-i-0-0").read_text() == "14" and (tmp_path / "delete-i-0-1").read_text() == "i-0-1"
