@@ -124,10 +124,15 @@ class VectorStore:
     def _replace(self, index: str, space: str, rows: DataFrame) -> None:
         staged = fresh_path(self.spark, "staged")
         rows.write.parquet(staged)
+        kept = self.spark.read.schema("key string, vector array<float>, metadata map<string,string>, written_ms long").parquet(staged)
+        if kept.isEmpty():
+            # an overwrite without rows would leave the partition as it was
+            escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/index_name={escape(index)}/space={escape(space)}")
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            return
         (
-            self.spark.read.schema("key string, vector array<float>, metadata map<string,string>, written_ms long")
-            .parquet(staged)
-            .withColumns({"index_name": F.lit(index), "space": F.lit(space)})
+            kept.withColumns({"index_name": F.lit(index), "space": F.lit(space)})
             .write.partitionBy("index_name", "space")
             .option("partitionOverwriteMode", "dynamic")
             .mode("overwrite")
