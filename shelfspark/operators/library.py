@@ -104,8 +104,8 @@ def owning_root(files: DataFrame, roots: DataFrame) -> DataFrame:
     characters is kept by aggregation.
     """
     above = files.select("path").distinct().select("path", F.explode(ancestors(F.col("path"))).alias("root"))
-    found = above.join(roots.select("root").distinct(), "root").groupBy("path").agg(F.max_by("root", F.length("root")).alias("owner"))
-    return files.select("path").distinct().join(found, "path", "left")
+    known = roots.select("root").distinct().withColumn("found", F.col("root"))
+    return above.join(known, "root", "left").groupBy("path").agg(F.max_by("found", F.length("found")).alias("owner"))
 
 
 def overlapping_roots(roots: DataFrame) -> DataFrame:

@@ -88,11 +88,19 @@ def best_passage(hits: DataFrame, path: Column, kind: Column, legacy: Column, hi
 
 def capped_merge(hits: DataFrame, legacy: str, score: str, limit: int, *ties: Column) -> DataFrame:
     """The best of two lanes; the legacy lane may fill half of the result, rounded up, and loses ties."""
-    lane = W.partitionBy(F.coalesce(F.col(legacy), F.lit(False))).orderBy(F.desc(score), *ties)
-    # the best of a lane are taken before ranking, so that no lane is sorted whole in one task
-    best = [hits.where(F.coalesce(F.col(legacy), F.lit(False)) == side).orderBy(F.desc(score), *ties).limit(most) for side, most in ((False, limit), (True, -(-limit // 2)))]
-    both = best[0].unionByName(best[1])
-    return both.withColumn("lane_rank", F.row_number().over(lane)).orderBy(F.desc(score), F.coalesce(F.col(legacy), F.lit(False)), *ties).limit(limit)
+    old = F.coalesce(F.col(legacy), F.lit(False))
+    ranked = best_per_lane(hits, old, score, limit, *ties)
+    return ranked.where(~old | (F.col("lane_rank") <= -(-limit // 2))).orderBy(F.desc(score), old, *ties).limit(limit)
+
+
+def best_per_lane(hits: DataFrame, lane: Column, score: str, most: int, *ties: Column) -> DataFrame:
+    """The best hits of every lane with their ``lane_rank``, in one scan.
+
+    The limit is a bound on a rank, which tasks apply before the shuffle (up to the session's threshold of 1000), so no
+    lane is sorted whole in one task.
+    """
+    place = F.row_number().over(W.partitionBy(lane).orderBy(F.desc(score), *ties))
+    return hits.withColumn("lane_rank", place).where(F.col("lane_rank") <= most)
 
 
 def merged_sources(local: DataFrame, web: DataFrame, score: str, limit: int, *ties: Column) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfspark.functions.keys import collection_name
@@ -154,8 +155,6 @@ def f3_searchable_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r1_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 100 best hits after a reranker rated every third of the first 20 by their file size."""
     hits = _hits(spark, sf_dir).where("not isnan(score)").orderBy(F.desc("score"), "hit_no").limit(100)
-    from pyspark.sql import Window as W
-
     placed = hits.withColumn("position", F.row_number().over(W.orderBy(F.desc("score"), "hit_no")) - 1)  # 100 rows
     rated = placed.where("position % 3 = 0 and position < 20").select("position", F.col("file_size").cast("double").alias("relevance"))
     ranked = search.reranked(placed, "position", rated)
@@ -166,9 +165,7 @@ def q1_asset_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search from recall to result: lanes by kind, best passage per document, gone files out, lexical lift, capped merge."""
     hits = _hits(spark, sf_dir).where("hit_key is not null and not isnan(score)")
     lane = F.when(F.coalesce("legacy", F.lit(False)), "legacy").when(F.col("file_kind") == "document", "text").otherwise("visual")
-    recall = hits.withColumn("lane", lane)
-    lanes = [recall.where(F.col("lane") == name).orderBy(F.desc("score"), "hit_no").limit(500) for name in ("visual", "text", "legacy")]
-    united = lanes[0].unionByName(lanes[1]).unionByName(lanes[2])
+    united = search.best_per_lane(hits.withColumn("lane", lane), F.col("lane"), "score", 500, F.col("hit_no"))
     best = search.best_passage(united, F.col("asset_path"), F.col("file_kind"), F.col("legacy"), F.col("hit_key"), F.col("score"), F.col("hit_no"))
     alive = _hits(spark, sf_dir).where("batch_no > 10").select("asset_path").distinct()
     live = best.join(alive, "asset_path", "left_semi")
