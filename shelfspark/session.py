@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -57,6 +62,28 @@ def clear_work(spark: SparkSession) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_importable: set[str] = set()
+
+
+def ensure_importable(spark: SparkSession) -> None:
+    """Send the package to the Python workers if they cannot import it, as where only the driver's path names it.
+
+    Looked at once per application, in one small task.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _importable:
+        return
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([importlib.util.find_spec("shelfspark") is not None] * batch.num_rows)], names=["found"])
+
+    if not spark.range(1).mapInArrow(look, "found boolean").first()[0]:
+        root = Path(__file__).parent.parent
+        context.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "shelfspark"), "zip", root, "shelfspark"))
+    _importable.add(context.applicationId)
+
+
 def as_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: lineage ends there and a lost executor loses nothing."""
     path = fresh_path(df.sparkSession, name)
