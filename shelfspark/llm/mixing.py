@@ -56,7 +56,7 @@ def _bucket(level: int) -> Column:
 def budgets(targets: DataFrame, sizes: DataFrame) -> DataFrame:
     """Per mix and source: budget, tokens of the source, whole copies, the rest of the budget, and whether it falls short."""
     by_source = sizes.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("source_tokens"))
-    total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"))
+    total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]  # one number
     wanted = targets.select(
         "mix_id",
         F.col("source").alias("source_as_given"),
@@ -69,8 +69,7 @@ def budgets(targets: DataFrame, sizes: DataFrame) -> DataFrame:
     return (
         wanted.join(by_source, "source", "left")
         .withColumn("source_tokens", F.coalesce("source_tokens", F.lit(0)))
-        .join(F.broadcast(total))  # one row
-        .withColumn("budget", F.col("target_share") * F.col("budget_ratio") * F.col("total_tokens"))
+        .withColumn("budget", F.col("target_share") * F.col("budget_ratio") * F.lit(total))
         .withColumn("short", F.col("budget") > reach)
         .withColumn("copies", F.when(F.col("short"), F.col("max_repeats")).when(F.col("source_tokens") == 0, 0).otherwise(F.floor(F.col("budget") / F.col("source_tokens"))))
         .withColumn("rest", F.when(F.col("short"), 0.0).otherwise(F.col("budget") - F.col("copies") * F.col("source_tokens")))
