@@ -107,8 +107,8 @@ def j7_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a24_recent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Videos per site that were planned in the last 24 hours of the table."""
     rows = _segments(spark, sf_dir).where("lane = 'visual'").groupBy("site", "video").agg(F.max("indexed_ms").alias("last_ms"))
-    newest = rows.agg(F.max("last_ms").alias("now"))
-    return rows.join(F.broadcast(newest)).where("last_ms >= now - 86400000").groupBy("site").agg(F.count("*").alias("videos"))
+    newest = table(spark, sf_dir, "chunk_segments").agg(F.max(F.unix_millis(F.col("planned_at").cast("timestamp")))).first()[0]  # one number
+    return rows.where(F.col("last_ms") >= F.lit(newest) - 86400000).groupBy("site").agg(F.count("*").alias("videos"))
 
 
 def x2_media_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
