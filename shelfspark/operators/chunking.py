@@ -1,7 +1,7 @@
 """Chunks of documents, captions and media as table functions.
 
 A chunk begins where the one before it was cut, so cutting a text is a fold over its characters; it runs in Arrow batches,
-one text at a time, and texts that fit into one chunk are told apart before they reach Python.
+one text at a time.
 """
 
 from __future__ import annotations
@@ -63,18 +63,15 @@ def document_chunks(rows: DataFrame, key: str, text: str, characters: int = CHAR
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for name, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = windows(body, characters, overlap, most)
+                found = windows(body, characters, overlap, most) if body else []
                 for k, (a, b) in enumerate(found):
                     for column, value in zip(out, (name, k, a, b, body[a:b], found[-1][1] < len(body)), strict=True):
                         column.append(value)
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["key", "chunk_index", "start_character", "end_character", "text", "truncated"])
 
-    plain = rows.select(F.col(key).cast("string").alias("key"), normalized_text(F.col(text)).alias("text")).where("length(text) > 0")
-    whole = plain.where(F.length("text") <= characters).select(
-        "key", F.lit(0).alias("chunk_index"), F.lit(0).alias("start_character"), F.length("text").alias("end_character"), "text", F.lit(False).alias("truncated")
-    )
-    return whole.unionByName(plain.where(F.length("text") > characters).mapInArrow(run, schema))
+    # normalised once: with the short texts in a branch of their own, the expressions would run again in its filter and columns
+    return rows.select(F.col(key).cast("string").alias("key"), normalized_text(F.col(text)).alias("text")).mapInArrow(run, schema)
 
 
 class CaptionWindow:
