@@ -30,6 +30,8 @@ SEGMENT_LIMIT_MS, SEGMENT_OVERLAP_MS = 60_000, 2_000
 LEAST_SHARE = 0.6
 BLOCK = 1 << 16
 TIME_BLOCK = 1 << 20
+#: Pieces that a task holds before it passes them on.
+MOST_PIECES = 50_000
 
 PARAGRAPH, LINE, SENTENCE, CLAUSE, SPACE, PLAIN, TORN = 6, 5, 4, 3, 2, 1, 0
 
@@ -153,8 +155,8 @@ def split_text(text: str, limit: int = TEXT_LIMIT, overlap: int = TEXT_OVERLAP,
     return list(cut(start, end, limit, overlap, least, StrongestCut(candidates, end, limit - least + 1)))
 
 
-def split_segment(start_ms: int, end_ms: int, grid_ms: int | None, limit: int = SEGMENT_LIMIT_MS, overlap: int = SEGMENT_OVERLAP_MS, least_share: float = LEAST_SHARE) -> list[tuple[int, int, int | None]]:
-    """Pieces of a stretch of time. Strengths: 2 on the grid of the video's chunks, 1 on other whole seconds, 0 elsewhere."""
+def segment_cuts(start_ms: int, end_ms: int, grid_ms: int | None, limit: int = SEGMENT_LIMIT_MS, overlap: int = SEGMENT_OVERLAP_MS, least_share: float = LEAST_SHARE) -> Iterator[tuple[int, int, int | None]]:
+    """Pieces of a stretch of time, one by one. Strengths: 2 on the grid of the video's chunks, 1 on other whole seconds, 0 elsewhere."""
     least = max(overlap + 1, int(limit * least_share))
 
     def candidates(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +166,12 @@ def split_segment(start_ms: int, end_ms: int, grid_ms: int | None, limit: int =
             return at, np.where(at % grid_ms == 0, 2, 1)
         return at, np.ones(len(at), np.int64)
 
-    return list(cut(start_ms, end_ms, limit, overlap, least, StrongestCut(candidates, end_ms, limit + 2, TIME_BLOCK)))
+    return cut(start_ms, end_ms, limit, overlap, least, StrongestCut(candidates, end_ms, limit + 2, TIME_BLOCK))
+
+
+def split_segment(start_ms: int, end_ms: int, grid_ms: int | None, limit: int = SEGMENT_LIMIT_MS, overlap: int = SEGMENT_OVERLAP_MS) -> list[tuple[int, int, int | None]]:
+    """All pieces of a stretch of time."""
+    return list(segment_cuts(start_ms, end_ms, grid_ms, limit, overlap))
 
 
 _TEXT_PIECES = "record_no long, piece_no int, start_character long, end_character long, cut_strength int, text string"
@@ -194,12 +201,12 @@ def _segment_task(limit: int, overlap: int) -> Callable:
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for no, start, end, grid in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for k, (a, b, s) in enumerate(split_segment(start, end, grid, limit, overlap), 1):
+                for k, (a, b, s) in enumerate(segment_cuts(start, end, grid, limit, overlap), 1):
                     for column, value in zip(out, (no, k, a, b, s), strict=True):
                         column.append(value)
-                if len(out[0]) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
-                    out = [[] for _ in names]
+                    if len(out[0]) >= MOST_PIECES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+                        out = [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
     return run

@@ -66,4 +66,6 @@ def test_tables(spark):
     times = spark.createDataFrame([(1, 0, 60_000), (2, 0, 60_001), (3, None, 5), (4, 9, 3)], "n long, a long, b long")
     parts = segment_pieces(times, "n", F.col("a"), F.col("b"), F.lit(30_000)).collect()
     assert sorted((r.record_no, r.piece_no) for r in parts) == [(1, 1), (2, 1), (2, 2)]
+    huge = spark.createDataFrame([(1, 0, 4_000_000_000)], "n long, a long, b long")
+    assert segment_pieces(huge, "n", F.col("a"), F.col("b"), F.lit(30_000)).count() > 60_000
     assert text_pieces(df.limit(0), "chunk_no", "text", "start_character").collect() == []
