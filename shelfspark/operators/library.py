@@ -119,9 +119,12 @@ def scan_budget(pending: DataFrame, most: int) -> DataFrame:
     return pending.orderBy("path").limit(most)
 
 
-def stale_keys(old: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Old keys of files that were written again and whose key is not among the fresh ones."""
-    rewritten = fresh.select("path").distinct()
+def stale_keys(old: DataFrame, fresh: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """Old keys of files that were written again and whose key is not among the fresh ones.
+
+    ``taken`` has (path) of all files that were read again, as those without chunks now have no fresh row.
+    """
+    rewritten = (fresh if taken is None else taken).select("path").distinct()
     return old.join(rewritten, "path", "left_semi").join(fresh.select("key").distinct(), "key", "left_anti").select("path", "key")
 
 

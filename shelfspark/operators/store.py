@@ -17,6 +17,8 @@ from shelfspark.functions.vectors import usable
 from shelfspark.session import fresh_path
 
 SCHEMA = "key string, vector array<float>, metadata map<string,string>, written_ms long, index_name string, space string"
+#: Files that scans took in, also those without chunks: whether there was a text, its chunks, how many of them are stored, and how often it was tried.
+FILES = "root string, path string, fingerprint string, has_text boolean, chunks long, vectors long, tries int, index_name string, space string"
 
 
 def metadata_filter(values: dict[str, object], field: str = "metadata") -> Column | None:
@@ -44,16 +46,30 @@ class VectorStore:
         self.spark = spark
         self.path = path or fresh_path(spark, "store")
 
-    def _exists(self) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def _exists(self, path: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
     def read(self, index: str, space: str, condition: Column | None = None) -> DataFrame:
         """Rows of one index and space; an index that was never written is empty."""
-        table = self.spark.read.schema(SCHEMA).parquet(self.path) if self._exists() else self.spark.createDataFrame([], SCHEMA)
+        table = self.spark.read.schema(SCHEMA).parquet(self.path) if self._exists(self.path) else self.spark.createDataFrame([], SCHEMA)
         own = table.where((F.col("index_name") == index) & (F.col("space") == space))
         return own if condition is None else own.where(condition)
 
+    @property
+    def files_path(self) -> str:
+        """Below the table, where readers of the table pass it by."""
+        return f"{self.path}/_files"
+
+    def files(self, index: str, space: str) -> DataFrame:
+        """Files that scans took in for one index and space."""
+        table = self.spark.read.schema(FILES).parquet(self.files_path) if self._exists(self.files_path) else self.spark.createDataFrame([], FILES)
+        return table.where((F.col("index_name") == index) & (F.col("space") == space)).drop("index_name", "space")
+
+    def replace_files(self, index: str, space: str, rows: DataFrame) -> None:
+        """Write the files that scans took in."""
+        self._replace(index, space, rows, self.files_path)
+
     def dimension(self, index: str, space: str) -> int | None:
         found = self.read(index, space).select(F.size("vector")).first()
         return found[0] if found else None
@@ -118,17 +134,18 @@ class VectorStore:
 
     def counts(self) -> DataFrame:
         """Rows per index and space."""
-        table = self.spark.read.schema(SCHEMA).parquet(self.path) if self._exists() else self.spark.createDataFrame([], SCHEMA)
+        table = self.spark.read.schema(SCHEMA).parquet(self.path) if self._exists(self.path) else self.spark.createDataFrame([], SCHEMA)
         return table.groupBy("index_name", "space").count()
 
-    def _replace(self, index: str, space: str, rows: DataFrame) -> None:
+    def _replace(self, index: str, space: str, rows: DataFrame, path: str | None = None) -> None:
+        path = path or self.path
         staged = fresh_path(self.spark, "staged")
         rows.write.parquet(staged)
-        kept = self.spark.read.schema("key string, vector array<float>, metadata map<string,string>, written_ms long").parquet(staged)
+        kept = self.spark.read.schema(rows.schema).parquet(staged)
         if kept.isEmpty():
             # an overwrite without rows would leave the partition as it was
             escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/index_name={escape(index)}/space={escape(space)}")
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/index_name={escape(index)}/space={escape(space)}")
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
             return
         (
@@ -136,7 +153,7 @@ class VectorStore:
             .write.partitionBy("index_name", "space")
             .option("partitionOverwriteMode", "dynamic")
             .mode("overwrite")
-            .parquet(self.path)
+            .parquet(path)
         )
 
 

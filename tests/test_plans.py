@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from shelfspark.functions.plugins import HashEmbedder
 from shelfspark.operators.store import VectorStore
 from shelfspark.plans.profile import Profile, with_path
@@ -22,6 +24,43 @@ def test_scan(spark):
     assert [r.metadata["text_preview"] for r in store.read("i", "s").collect()] == ["now short"]
 
 
+class NoVectorFor(HashEmbedder):
+    """No vector for texts that begin with a word."""
+
+    def __init__(self, word):
+        super().__init__(8)
+        self.word = word
+
+    def embed(self, texts):
+        return super().embed(texts) * [[not t.startswith(self.word)] for t in texts]
+
+
+def test_scan_passes_files_without_chunks(spark):
+    store = VectorStore(spark)
+    disk = lambda rows: spark.createDataFrame([("/r", f"/r/{p}", f) for p, f in rows], "root string, path string, fingerprint string")
+    texts = lambda rows: spark.createDataFrame([(f"/r/{p}", t) for p, t in rows], "path string, text string")
+    run = lambda f, t, e=NoVectorFor("odd"), **k: scan(store, "i", "s", "/r", disk(f), texts(t), e, **k)
+    stored = lambda: sorted(r.metadata["path"][3:] for r in store.read("i", "s").collect())
+    files = [(p, "1:1") for p in ("a-blank", "b-null", "c-video", "d-odd", "e", "f")]
+    bodies = [("a-blank", " "), ("b-null", None), ("d-odd", "odd text"), ("e", "some text"), ("f", "other text")]
+    first = run(files, bodies, most_files=4)
+    assert (first.indexed, first.incomplete, first.remaining, first.vectors) == (1, 3, 2, 0) and stored() == []
+    second = run(files, bodies, most_files=2)
+    assert (second.skipped, second.indexed, second.remaining, stored()) == (3, 2, 1, ["e", "f"])
+    third = run(files, bodies)
+    assert (third.skipped, third.indexed, third.incomplete) == (5, 0, 1)
+    # a text that comes later and an embedder that has a vector now: nothing is passed by for good
+    late = run(files, [*bodies, ("c-video", "captions")], HashEmbedder(8))
+    assert (late.skipped, late.indexed, late.incomplete) == (4, 2, 0) and stored() == ["c-video", "d-odd", "e", "f"]
+    # rewritten to blank, or to something without a text: the old chunks go
+    blank = run([*files[:4], ("e", "2:2"), ("f", "2:2")], [*bodies[:3], ("c-video", "captions"), ("e", "\n"), ("f", None)])
+    assert (blank.skipped, blank.indexed, blank.incomplete, blank.removed) == (4, 1, 1, 0) and stored() == ["c-video", "d-odd"]
+    # rows that were deleted from the store are pending, and a recorded file that is gone is forgotten
+    store.purge("i", "s", F.col("metadata.path") == "/r/d-odd")
+    back = run(files[3:4], bodies, HashEmbedder(8))
+    assert (back.indexed, back.removed) == (1, 1) and stored() == ["d-odd"] and store.files("i", "s").count() == 1
+
+
 def test_profile():
     profile = Profile.load('{"model": "m", "dimension": "x", "api_key": "k", "most_assets": -1, "video": {"chunk_seconds": 90, "fps": true}}')
     assert (profile.model, profile.dimension, profile.most_assets, profile.video.chunk_seconds, profile.video.longest_seconds, profile.video.fps) == ("m", 4096, 400, 90, 90, 2)
