@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.text import collapsed, normalized_text
 
-CHARACTERS, OVERLAP, MOST_CHUNKS = 3600, 320, 64
+CHARACTERS, OVERLAP = 3600, 320
+#: What the reference keeps of a text; only for who asks for it, by default texts are chunked whole.
+MOST_CHUNKS = 64
+#: Characters of chunks that are passed on as one batch, so that texts may be of any length.
+BATCH_CHARACTERS = 1 << 24
 #: Cuts are sought from this share of a chunk on.
 SEARCH_FROM = 0.58
 CUE_SECONDS, CUE_CHARACTERS = 25.0, 180
@@ -36,11 +40,11 @@ def window_end(text: str, begin: int, characters: int = CHARACTERS) -> int:
     return mark + 1 if mark >= 0 else most
 
 
-def windows(text: str, characters: int = CHARACTERS, overlap: int = OVERLAP, most: int = MOST_CHUNKS) -> list[tuple[int, int]]:
-    """(from, to) of the chunks of a normalised text, without white space at their ends."""
+def windows(text: str, characters: int = CHARACTERS, overlap: int = OVERLAP, most: int | None = None) -> list[tuple[int, int]]:
+    """(from, to) of the chunks of a normalised text, without white space at their ends; the first ``most`` of them if that is given."""
     found: list[tuple[int, int]] = []
     begin = 0
-    while begin < len(text) and len(found) < most:
+    while begin < len(text) and (most is None or len(found) < most):
         end = max(begin + 1, window_end(text, begin, characters))
         body = text[begin:end]
         inner = body.strip()
@@ -55,25 +59,38 @@ def windows(text: str, characters: int = CHARACTERS, overlap: int = OVERLAP, mos
     return found
 
 
-def document_chunks(rows: DataFrame, key: str, text: str, characters: int = CHARACTERS, overlap: int = OVERLAP, most: int = MOST_CHUNKS) -> DataFrame:
-    """(key, chunk_index, start_character, end_character, text, truncated) of each text; null and blank texts give none."""
+def document_chunks(rows: DataFrame, key: str, text: str, characters: int = CHARACTERS, overlap: int = OVERLAP, most: int | None = None) -> DataFrame:
+    """(key, chunk_index, start_character, end_character, text, truncated) of each text; null and blank texts give none.
+
+    Texts are chunked to their end. With ``most`` (the reference has ``MOST_CHUNKS``) the rest is left out and ``truncated`` says so.
+    """
     schema = "key string, chunk_index int, start_character int, end_character int, text string, truncated boolean"
+    at_once = BATCH_CHARACTERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
+            size = 0
             for name, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = windows(body, characters, overlap, most) if body else []
                 for k, (a, b) in enumerate(found):
                     for column, value in zip(out, (name, k, a, b, body[a:b], found[-1][1] < len(body)), strict=True):
                         column.append(value)
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["key", "chunk_index", "start_character", "end_character", "text", "truncated"])
+                    size += b - a
+                    if size >= at_once:
+                        yield _document_batch(out)
+                        out, size = [[] for _ in range(6)], 0
+            yield _document_batch(out)
 
     # normalised once: with the short texts in a branch of their own, the expressions would run again in its filter and columns
     return rows.select(F.col(key).cast("string").alias("key"), normalized_text(F.col(text)).alias("text")).mapInArrow(run, schema)
 
 
+def _document_batch(out: list[list]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["key", "chunk_index", "start_character", "end_character", "text", "truncated"])
+
+
 class CaptionWindow:
     """Cues (start, end, text) joined until the window is too long in time or text; holds one window."""
 

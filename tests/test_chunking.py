@@ -1,7 +1,8 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from shelfspark.operators.chunking import caption_chunks, document_chunks, windows
+from shelfspark.operators import chunking
+from shelfspark.operators.chunking import MOST_CHUNKS, caption_chunks, document_chunks, windows
 
 
 @settings(max_examples=150, deadline=None)
@@ -28,6 +29,19 @@ def test_document_chunks(spark):
     assert len(cut) == 2 and cut[0].truncated
 
 
+def test_long_texts_are_chunked_to_their_end(spark, monkeypatch):
+    text = ("A sentence of some words. " * 12_000)[:299_980] + " the very last words"
+    df = spark.createDataFrame([("long", text), ("short", "short")], "name string, text string")
+    got = sorted(document_chunks(df, "name", "text").where("key = 'long'").collect(), key=lambda r: r.chunk_index)
+    assert len(text) == 300_000 and len(got) > MOST_CHUNKS and got[-1].end_character == len(text) and got[-1].text.endswith("the very last words")
+    assert got[0].start_character == 0 and all(b.start_character <= a.end_character for a, b in zip(got, got[1:], strict=False)) and not any(r.truncated for r in got)
+    assert [(r.start_character, r.end_character) for r in got] == windows(text) and all(r.text == text[r.start_character : r.end_character] for r in got)
+    cut = document_chunks(df, "name", "text", most=MOST_CHUNKS).where("key = 'long'").collect()
+    assert len(cut) == MOST_CHUNKS and all(r.truncated for r in cut)
+    monkeypatch.setattr(chunking, "BATCH_CHARACTERS", 10_000)
+    assert sorted(document_chunks(df, "name", "text").collect()) == sorted([*got, *document_chunks(df.where("name = 'short'"), "name", "text").collect()])
+
+
 def test_captions(spark):
     cues = [("v", 0.0, 5.0, "one"), ("v", 6.0, 9.0, " two\nwords "), ("v", 26.0, 27.0, "three"), ("v", 7.0, 8.0, "  "), ("w", 0.0, 1.0, "x" * 200), ("w", 1.0, 2.0, "y"), (None, 0.0, 1.0, "z"), ("u", 5.0, 4.0, "back")]
     df = spark.createDataFrame(cues, "video string, start_seconds double, end_seconds double, caption string")
