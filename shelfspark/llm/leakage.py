@@ -7,11 +7,13 @@ resolved, compatibility forms and letter case folded, punctuation and layout dro
 2. Every document is read once and whole; the positional postings of all test terms go to a table that is sharded by
    document, so that lists of one document meet without a shuffle.
 3. The document frequency of each term is counted over all documents. The rarest ``RAREST`` share of an item's terms
-   are looked up first: their postings, each shifted back by the term's place in the item, must meet in one band of
-   offsets. A document that holds an item's text from start to end meets there with every rare term, and one with half
-   of it still with several, so nothing that can reach the threshold is lost.
-4. What met is verified with all terms of the item: the share of its terms that stand in the band decides, which is the
-   proximity match; the share of its words they cover and the longest covered stretch, the exact phrase, are reported.
+   are counted first: a document with the wanted share of all terms must hold one to three of them, by the item's
+   length, so nothing that can reach the threshold is lost here.
+4. What is left is verified with all terms of the item. Their postings, each shifted back by the term's place in the
+   item, must meet in bands of offsets, one to three terms in each, by the item's length. The share of the item's terms
+   that stand in these bands decides, which is the proximity match: an item held in several places counts by all of
+   them, terms that stand alone do not count. The share of its words they cover and the longest covered stretch in one
+   place, the exact phrase, are reported.
 
 The test items are a stated query set that travels with the code of the tasks; ``MAX_TEST_CHARS`` bounds and checks it
 (run larger sets in blocks). Null and blank documents and items hold nothing. Items shorter than one term are never
@@ -143,6 +145,11 @@ class TestTerms:
         self.rare = np.zeros(len(order), bool)
         self.rare[order] = rank < np.ceil(RAREST * self.item_terms[self.of_item[order]])
 
+    def least_rare(self, least_share: float) -> np.ndarray:
+        """Rare terms of each item that are asked for: a document with ``least_share`` of all its terms has no fewer. At most ``LEAST_RARE``."""
+        rare = np.ceil(RAREST * self.item_terms)
+        return np.clip(np.ceil(least_share * self.item_terms - 1e-9) - (self.item_terms - rare), 1, LEAST_RARE)
+
 
 _INDEX = "doc_id long, terms array<long>, places array<int>"
 
@@ -205,6 +212,11 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.mapInArrow(run, "term long, documents long").groupBy("term").agg(F.sum("documents").alias("documents"))
 
 
+def _covered(tests: TestTerms, entry: np.ndarray) -> np.ndarray:
+    """Numbers of the words of an item that some of its terms cover."""
+    return np.unique(np.concatenate([np.arange(a, a + n) for a, n in zip(tests.item_at[entry], tests.length[entry], strict=True)]))
+
+
 def _longest(words: np.ndarray) -> int:
     """Longest run of consecutive numbers in a sorted array."""
     breaks = np.flatnonzero(np.diff(words) != 1)
@@ -217,25 +229,36 @@ def _meet(tests: TestTerms, docs: np.ndarray, terms: np.ndarray, places: np.ndar
     times = tests.places[slot]
     row = np.repeat(np.arange(len(terms)), times)
     entry = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + tests.first[slot][row]
-    item = tests.of_item[entry]
-    pair = docs[row] * len(tests.items) + item
+    pair = docs[row] * len(tests.items) + tests.of_item[entry]
     offset = places[row] - tests.item_at[entry]
-    rare = tests.rare[entry]
-    span = int(offset.max() - offset.min()) // BAND + 3 if len(offset) else 1
-    base = int(offset.min()) if len(offset) else 0
-    cells = np.concatenate([((pair[rare] * span + (offset[rare] - base + grid * BAND // 2) // BAND) * 2 + grid) for grid in (0, 1)])
+    # pairs that can reach the share: with as many terms, and as many rare ones among them
+    least = tests.least_rare(least_share)
+    known, first, times = np.unique(pair, return_inverse=True, return_counts=True)
+    own = known % len(tests.items)
+    enough = (times >= least_share * tests.item_terms[own] - 1e-9) & (np.bincount(first, tests.rare[entry], len(known)) >= least[own])
+    chosen = enough[first]
+    pair, entry, offset = pair[chosen], entry[chosen], offset[chosen]
+    if not len(pair):
+        return
+    base = int(offset.min())
+    span = int(offset.max() - base) // BAND + 3
+    cells = np.concatenate([((pair * span + (offset - base + grid * BAND // 2) // BAND) * 2 + grid) for grid in (0, 1)])
     cell, hits = np.unique(cells, return_counts=True)
-    cell, hits = cell[hits >= LEAST_RARE], hits[hits >= LEAST_RARE]
+    cell = cell[hits >= least[cell // (2 * span) % len(tests.items)]]
     if not len(cell):
         return
-    of_pair = cell // (2 * span)
-    order = np.lexsort((cell, -hits, of_pair))
-    best = order[np.concatenate(([True], np.diff(of_pair[order]) != 0))]
-    found, cell = of_pair[best], cell[best]
-    low = (cell // 2 % span) * BAND - (cell % 2) * (BAND // 2) + base
-    where = np.minimum(np.searchsorted(found, pair), len(found) - 1)
-    near = (found[where] == pair) & (offset >= low[where] - BAND // 2) & (offset < low[where] + BAND + BAND // 2)
-    where, entry = where[near], entry[near]
+    # all bands of a pair, with half a band on either side, as half bands that count
+    of_pair, first_half = cell // (2 * span), cell // 2 % span * 2 - cell % 2
+    halves = 2 * span + 4
+    marked = np.unique(np.concatenate([of_pair * halves + first_half + k for k in (1, 2, 3, 4)]))
+    stretch = np.cumsum(np.concatenate(([True], np.diff(marked) != 1)))
+    found = np.unique(of_pair)
+    half = pair * halves + (offset - base) // (BAND // 2) + 2
+    slot = np.minimum(np.searchsorted(marked, half), len(marked) - 1)
+    near = marked[slot] == half
+    entry, stretch, where = entry[near], stretch[slot[near]], np.searchsorted(found, pair[near])
+    order = np.lexsort((stretch, where))
+    by_pair, by_stretch, starts = entry[order], stretch[order], np.searchsorted(where[order], np.arange(len(found) + 1))
     # each place of an item once
     order = np.lexsort((tests.item_at[entry], where))
     where, entry = where[order], entry[order]
@@ -246,9 +269,11 @@ def _meet(tests: TestTerms, docs: np.ndarray, terms: np.ndarray, places: np.ndar
     share = counts / tests.item_terms[found % len(tests.items)]
     for k in np.flatnonzero(share >= least_share):
         own = entry[ends[k] - counts[k] : ends[k]]
-        words = np.unique(np.concatenate([np.arange(a, a + n) for a, n in zip(tests.item_at[own], tests.length[own], strict=True)]))
+        words = _covered(tests, own)
+        near_by, parts = by_pair[starts[k] : starts[k + 1]], by_stretch[starts[k] : starts[k + 1]]
+        longest = max(_longest(_covered(tests, near_by[parts == part])) for part in np.unique(parts))
         number = int(found[k] % len(tests.items))
-        yield int(tests.items[number]), int(found[k] // len(tests.items)), float(share[k]), len(words) / int(tests.item_words[number]), _longest(words)
+        yield int(tests.items[number]), int(found[k] // len(tests.items)), float(share[k]), len(words) / int(tests.item_words[number]), longest
 
 
 def _match(tests: TestTerms, least_share: float, most_places: int) -> Callable:

@@ -57,6 +57,26 @@ def test_finds_the_leaks(spark, case):
     assert {(r.item_id, r.doc_id) for r in again} == found
 
 
+def test_short_items_and_items_in_several_places(spark):
+    rng = random.Random(5)
+    long, ten, three = passage(rng, 62).split(), passage(rng, 12).split(), passage(rng, 3)
+    prose = lambda: passage(rng, 400)
+    docs = [
+        (1, f"{prose()} {' '.join(long[:16])} {prose()} {' '.join(long[31:47])} {prose()}"),
+        (2, f"{prose()} {' '.join(ten[:6])} {prose()}"),
+        (3, f"{prose()} {three} {prose()}"),
+        (4, f"{prose()} {' '.join(long[:16])} {prose()}"),
+        (5, " ".join(" ".join(prose().split()[:40] + long[k : k + 3]) for k in range(0, 60, 12))),
+    ]
+    # the rarest of the short item are the last in documents that hold its beginning: half of it has one rare term
+    docs += [(10 + k, " ".join(ten[:5])) for k in range(3)]
+    items = [(1, " ".join(long)), (2, " ".join(ten)), (3, three)]
+    got = leaks(spark.createDataFrame(docs, DOC), "doc_id", "text", spark.createDataFrame(items, ITEM), "item_id", "text").collect()
+    assert {(r.item_id, r.doc_id) for r in got} == {(1, 1), (2, 2), (3, 3)}
+    whole = {r.item_id: r for r in got}[1]
+    assert whole.term_share == 28 / 60 and whole.longest_phrase == 16
+
+
 def test_empty_tables(spark, case):
     items, docs, _ = case
     assert leaks(spark.createDataFrame([], DOC), "doc_id", "text", spark.createDataFrame(items, ITEM), "item_id", "text").collect() == []
