@@ -5,8 +5,9 @@ the 64-bit hash of the identity followed by the bits of the instant, shifted by
 instants are close share a prefix of that signature in at least one tree; dropping low bits widens the prefix.
 
 * The forest is a set of sorted runs in the shared folder, one per batch, that holds accepted entries only.
-* A batch looks up the prefixes of its own entries in the runs (a range of a sorted run is one prefix), so earlier
-  batches are neither read nor hashed nor compared again.
+* A batch looks up the prefixes of its own entries by a semi-join with all runs: each batch reads every accepted entry
+  once per tree, so the work grows with history times batches. The runs' order is not used to skip any of it, and a
+  batch of more than ``BROADCAST_ENTRIES`` / ``TREES`` rows shuffles the whole forest too.
 * The prefix starts at the full signature and is widened bit by bit until the share of repeats that must meet in some
   tree reaches the recall target; with the target 1 no repeat can be missed.
 * What meets in a prefix is verified by the identity's second hash and the distance of the instants.
