@@ -45,10 +45,11 @@ QUERIES = {"p1_found": p1_found, "p1_batches": p1_batches}
 #: The first row in order within the tolerance. That is the accepted row unless repeats form chains of several steps,
 #: which these tables do not hold; the tests hold the operator against going through all rows in order.
 ORACLES = {
-    "p1_found": r"""with spelled as (
-  select hit_no, batch_no, segment_index, modified_at,
-    lower(nfc_normalize(replace(replace(url_decode(replace(regexp_replace(regexp_replace(asset_path, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g'), '(?i)^file:(//(localhost)?)?', ''), '+', '%2B')),
-      '\', '/'), chr(160), ' '))) as p from asset_hits
+    "p1_found": r"""with decoded as (
+  select hit_no, batch_no, segment_index, modified_at, replace(url_decode(replace(asset_path, '+', '%2B')), '\', '/') as d from asset_hits
+), trimmed as (select * exclude (d), regexp_replace(regexp_replace(d, '[\s\x{A0}]+$', ''), '^[\s\x{A0}]*((?i)file:(//(localhost)?)?)?[\s\x{A0}]*', '') as e from decoded
+), spelled as (
+  select hit_no, batch_no, segment_index, modified_at, lower(nfc_normalize(replace(e, chr(160), ' '))) as p from trimmed
 ), steps as (select *, regexp_replace(regexp_replace(p, '/+', '/', 'g'), '(/\.)+/', '/', 'g') as a from spelled
 ), up as (select *, regexp_replace(regexp_replace(regexp_replace(a, '/[^/]+/\.\./', '/'), '/[^/]+/\.\./', '/'), '/[^/]+/\.\./', '/') as path from steps
 ), hits as (
