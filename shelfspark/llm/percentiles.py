@@ -9,17 +9,21 @@ sum of ``4**h`` over all compactions of a sketch and of those merged into it, th
 ``sqrt(2 * V * ln(2 / delta))`` with probability ``delta`` at most (Hoeffding). ``rank_error`` reports that bound
 divided by the count, at ``DELTA``. Groups that never filled a level are exact.
 
-Coins come from a hash of group, task and number of compactions, so a task that is run again gives the same sketch.
+Coins come from a hash of a label, group, task and number of compactions. Every call draws a label of its own, which
+travels with its tasks: a task that is run again gives the same sketch, while tables, days and merges that are built one
+after the other draw coins that have nothing to do with each other, as the bound asks.
 
-Tasks hold one sketch per group and pass them on when they hold ``FLUSH_VALUES``; what is shuffled is sketches, so a hot
-group costs one small sketch per task. Null values are left out, and so is whatever the caller filters. A null group is
+Tasks hold one sketch per group and pass them on when there are ``FLUSH_VALUES`` values or ``FLUSH_SKETCHES`` sketches;
+what is shuffled is sketches, so a hot group costs one small sketch per task. Groups are the combinations of keys that
+occur, however many values each key has. Null values are left out, and so is whatever the caller filters. A null group is
 a group of its own. Empty input gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-import zlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +37,7 @@ DELTA = 0.01
 SHRINK = 2 / 3
 LEAST_LEVEL = 8
 FLUSH_VALUES = 2_000_000
+FLUSH_SKETCHES = 50_000
 
 
 class Compactors:
@@ -117,8 +122,20 @@ _BODY = "count long, variance double, low double, high double, levels array<arra
 _DOUBLES = pa.list_(pa.list_(pa.float64()))
 
 
-def _seed(key: tuple, salt: int) -> int:
-    return zlib.crc32(repr(key).encode()) << 20 ^ salt
+def _seed(label: str, key: tuple, *place: int) -> int:
+    return int.from_bytes(hashlib.blake2b(repr((label, key, place)).encode(), digest_size=8).digest())
+
+
+def _combinations(columns: list[pa.Array], rows: int) -> tuple[np.ndarray, list[tuple]]:
+    """Number of its key for each row, and the keys that occur in the batch."""
+    codes, keys = np.zeros(rows, np.int64), [()]
+    for column in columns:
+        coded = column.dictionary_encode(null_encoding="encode")
+        values = coded.dictionary.to_pylist()
+        # numbered anew after each column, so that numbers stay below the count of rows squared
+        seen, codes = np.unique(codes * len(values) + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+        keys = [(*keys[n // len(values)], values[n % len(values)]) for n in seen.tolist()]
+    return codes, keys
 
 
 def _sketch_batch(sketches: dict[tuple, Compactors], keys: list[str]) -> pa.RecordBatch:
@@ -134,42 +151,37 @@ def _sketch_batch(sketches: dict[tuple, Compactors], keys: list[str]) -> pa.Reco
     return pa.RecordBatch.from_arrays(arrays, names=[*keys, "count", "variance", "low", "high", "levels"])
 
 
-def _build(keys: list[str], size: int) -> Callable:
+def _build(keys: list[str], size: int, label: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        salt = context.partitionId() if context else 0
+        task = context.partitionId() if context else 0
         sketches: dict[tuple, Compactors] = {}
         held = flushed = 0
         for batch in batches:
-            codes, names = np.zeros(batch.num_rows, np.int64), [()]
-            for column in batch.columns[:-1]:
-                coded = column.dictionary_encode(null_encoding="encode")
-                own = coded.dictionary.to_pylist()
-                codes = codes * len(own) + coded.indices.to_numpy(zero_copy_only=False)
-                names = [(*n, o) for n in names for o in own]
+            if not batch.num_rows:
+                continue
+            codes, names = _combinations(batch.columns[:-1], batch.num_rows)
             values = batch.columns[-1].to_numpy(zero_copy_only=False)
             order = np.argsort(codes, kind="stable")
             codes, values = codes[order], values[order]
-            edges = np.flatnonzero(np.diff(codes)) + 1
+            edges = (np.flatnonzero(np.diff(codes)) + 1).tolist()
             for lo, hi in zip([0, *edges], [*edges, len(codes)], strict=True):
-                if lo == hi:
-                    continue
                 key = names[codes[lo]]
                 if (sketch := sketches.get(key)) is None:
-                    sketch = sketches[key] = Compactors(size, _seed(key, salt + (flushed << 40)))
+                    sketch = sketches[key] = Compactors(size, _seed(label, key, task, flushed))
                 held -= sketch.held()
                 sketch.add(values[lo:hi])
                 held += sketch.held()
-            if held > FLUSH_VALUES:
-                yield _sketch_batch(sketches, keys)
-                sketches, held, flushed = {}, 0, flushed + 1
+                if held > FLUSH_VALUES or len(sketches) > FLUSH_SKETCHES:
+                    yield _sketch_batch(sketches, keys)
+                    sketches, held, flushed = {}, 0, flushed + 1
         if sketches:
             yield _sketch_batch(sketches, keys)
 
     return run
 
 
-def _merge(keys: list[str], size: int) -> Callable:
+def _merge(keys: list[str], size: int, label: str) -> Callable:
     """Sketches come sorted by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,10 +194,10 @@ def _merge(keys: list[str], size: int) -> Callable:
                     if current is not None:
                         done[key] = current
                         held += current.held()
-                    if held > FLUSH_VALUES:
+                    if held > FLUSH_VALUES or len(done) > FLUSH_SKETCHES:
                         yield _sketch_batch(done, keys)
                         done, held = {}, 0
-                    key, current = own, Compactors.restore(*body, size, _seed(own, -1 & 0xFFFFF))
+                    key, current = own, Compactors.restore(*body, size, _seed(label, own))
                 else:
                     current.merge(Compactors.restore(*body, size, 0))
         if current is not None:
@@ -199,16 +211,20 @@ def _key_schema(keys: list[str]) -> str:
     return ", ".join(f"`{k}` string" for k in keys) + ", " + _BODY
 
 
-def sketches(rows: DataFrame, keys: dict[str, Column], value: Column, size: int = SIZE) -> DataFrame:
-    """One sketch per group: the key columns (strings), count, variance, low, high, levels."""
+def sketches(rows: DataFrame, keys: dict[str, Column], value: Column, size: int = SIZE, label: str | None = None) -> DataFrame:
+    """One sketch per group: the key columns (strings), count, variance, low, high, levels.
+
+    With the same ``label`` the same tasks draw the same coins; by default every call draws its own.
+    """
+    label = label or uuid.uuid4().hex
     chosen = rows.select(*[c.cast("string").alias(k) for k, c in keys.items()], value.cast("double").alias("value")).where("value is not null and not isnan(value)")
-    return merged(chosen.mapInArrow(_build(list(keys), size), _key_schema(list(keys))), list(keys), size)
+    return merged(chosen.mapInArrow(_build(list(keys), size, label), _key_schema(list(keys))), list(keys), size, f"{label} merged")
 
 
-def merged(parts: DataFrame, keys: list[str], size: int = SIZE) -> DataFrame:
+def merged(parts: DataFrame, keys: list[str], size: int = SIZE, label: str | None = None) -> DataFrame:
     """Sketches of the same group, from any partitions or days, as one sketch."""
     body = ["count", "variance", "low", "high", "levels"]
-    return parts.select(*keys, *body).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merge(keys, size), _key_schema(keys))
+    return parts.select(*keys, *body).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merge(keys, size, label or uuid.uuid4().hex), _key_schema(keys))
 
 
 def percentiles(parts: DataFrame, keys: list[str], shares: dict[str, float], size: int = SIZE) -> DataFrame:

@@ -1,9 +1,12 @@
 import math
+import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from shelfspark.llm.percentiles import Compactors, merged, percentiles, sketches
+from shelfspark.llm import percentiles as percentiles_module
+from shelfspark.llm.percentiles import Compactors, _build, _combinations, _seed, merged, percentiles, sketches
 
 
 def off(values, answer, share):
@@ -54,5 +57,42 @@ def test_tables_and_days(spark):
 
 def test_a_task_that_runs_again_gives_the_same_sketch(spark):
     rows = spark.range(0, 50_000, 1, 3).selectExpr("'k' as key", "hash(id) as ms")
-    runs = [sketches(rows, {"key": F.col("key")}, F.col("ms"), 50).first() for _ in range(2)]
-    assert runs[0] == runs[1]
+    runs = [sketches(rows, {"key": F.col("key")}, F.col("ms"), 50, label) for label in ("a", "a", "b")]
+    assert runs[0].first() == runs[1].first() != runs[2].first()
+    assert runs[0].first() == runs[0].first()
+
+
+def test_keys_with_many_values():
+    """Only combinations that occur make sketches, and they are passed on when there are many."""
+    n = 10_000
+    batch = pa.RecordBatch.from_arrays([pa.array([f"a{k}" for k in range(n)]), pa.array([f"b{k * 7 % n}" for k in range(n)]), pa.array(np.arange(n, dtype=float))], names=["a", "b", "value"])
+    began = time.perf_counter()
+    out = list(_build(["a", "b"], 50, "x")(iter([batch, batch])))
+    assert time.perf_counter() - began < 10
+    assert sum(b.num_rows for b in out) == n and out[0].column(2).to_pylist() == [2] * n
+    codes, keys = _combinations([pa.array([None, "x", None, "y"]), pa.array(["p", None, "p", "p"])], 4)
+    assert [keys[c] for c in codes] == [(None, "p"), ("x", None), (None, "p"), ("y", "p")]
+
+
+def test_many_sketches_are_passed_on(monkeypatch):
+    monkeypatch.setattr(percentiles_module, "FLUSH_SKETCHES", 100)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"a{k}" for k in range(1000)]), pa.array(np.arange(1000.0))], names=["a", "value"])
+    out = list(_build(["a"], 50, "x")(iter([batch])))
+    assert len(out) == 10 and sum(b.num_rows for b in out) == 1000
+
+
+def test_days_that_are_merged_again_and_again():
+    """The bound holds for the same values sketched day after day: coins of the days do not add up in one direction."""
+    values = np.random.default_rng(3).permutation(20_000).astype(float)
+    total = None
+    for day in range(60):
+        sketch = Compactors(60, seed=_seed(f"day {day}", ("k",), 0))
+        for part in np.array_split(values, 20):
+            sketch.add(part)
+        if total is None:
+            total = sketch
+        else:
+            total = Compactors.restore(total.count, total.variance, total.low, total.high, total.levels, 60, _seed(f"merge {day}", ("k",)))
+            total.merge(sketch)
+        assert all(off(np.tile(values, day + 1), a, s) <= total.rank_error() for s, a in zip((0.1, 0.5, 0.9), total.quantiles([0.1, 0.5, 0.9]), strict=True)) or day % 20
+    assert total.count == 60 * 20_000 and total.held() < 1500 and total.rank_error() < 0.1
