@@ -3,22 +3,25 @@
 Terms are runs of three words, or of five characters in scripts without spaces, of the plain text (entities and tags
 resolved, compatibility forms and letter case folded, punctuation and layout dropped).
 
-1. Test items lose the opening line that they share with others: the longest beginning that ``SHARED_LEAD`` items have.
-2. Every document is read once and whole; the positional postings of all test terms go to a table that is sharded by
-   document, so that lists of one document meet without a shuffle.
-3. The document frequency of each term is counted over all documents. The rarest ``RAREST`` share of an item's terms
-   are counted first: a document with the wanted share of all terms must hold one to three of them, by the item's
-   length, so nothing that can reach the threshold is lost here.
+1. ``build_index`` reads every training document once and whole and stores the postings of all its terms, whatever the
+   test items are: tasks invert what they read into shards, and a shard is a list of (term, document, place) sorted by
+   term, in blocks with their first and last term. Nothing is shuffled. The table is written once and serves any number
+   of test sets.
+2. Test items lose the opening line that they share with others: the longest beginning that ``SHARED_LEAD`` items have.
+3. The lists of the test terms are taken out of the blocks by a merge of both sorted lists, and the document frequency of
+   each term is counted over all documents. The rarest ``RAREST`` share of an item's terms are looked at first: a document
+   with the wanted share of all terms must hold one to three of them, by the item's length, so nothing that can reach the
+   threshold is lost here.
 4. What is left is verified with all terms of the item. Their postings, each shifted back by the term's place in the
    item, must meet in bands of offsets, one to three terms in each, by the item's length. The share of the item's terms
    that stand in these bands decides, which is the proximity match: an item held in several places counts by all of
    them, terms that stand alone do not count. The share of its words they cover and the longest covered stretch in one
    place, the exact phrase, are reported.
 
-The test items are a stated query set that travels with the code of the tasks; ``MAX_TEST_CHARS`` bounds and checks it
-(run larger sets in blocks). Null and blank documents and items hold nothing. Items shorter than one term are never
-found. A number that stands twice among the documents counts as one document, whose pairs come once. Empty tables give
-an empty result.
+The test items travel with the tasks in blocks of at most ``BLOCK_CHARS`` characters, each of which searches the same
+index; an item is never cut, so the blocks change nothing. Null and blank documents and items hold nothing. Items
+shorter than one term are never found. A number that stands twice among the documents counts as one document, whose
+pairs come once. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -26,12 +29,12 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,19 +42,23 @@ from shelfspark.session import as_table
 
 WORDS, CHARACTERS = 3, 5
 SHARED_LEAD = 5
-LONGEST_LEAD = 60
 RAREST = 0.7
 #: Offsets are compared in bands this wide, in words; two grids half a band apart.
 BAND = 64
 LEAST_RARE = 3
 LEAST_SHARE = 0.4
-MAX_TEST_CHARS = 32_000_000
+#: Characters of test items that travel with one search.
+BLOCK_CHARS = 4_000_000
+#: Postings of a shard and of one of its blocks.
+SHARD_POSTINGS, BLOCK_POSTINGS = 2_000_000, 16_384
+#: Words whose hashes a task keeps.
+KNOWN_WORDS = 500_000
 #: Places of items that a task looks at together.
 MOST_PLACES = 2_000_000
 
 _CJK = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 _TOKEN = re.compile(f"[{_CJK}]|[^\\W_{_CJK}]+")
-_TAG = re.compile(r"<[^<>]{0,300}>")
+_TAG = re.compile(r"<[^<>]*>")
 _UNSEEN = re.compile("[\u200b\u200c\u200d\ufeff\u00ad]")
 #: Time marks and the counters of subtitles are layout.
 _MARKS = re.compile(r"[\[(]?\b\d{1,2}(?::\d\d){1,2}(?:[.,]\d{1,3})?\b[\])]?|^\s*\d+\s*$", re.M)
@@ -71,17 +78,25 @@ def words_of(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
-def _wide(word: str) -> bool:
-    return "\u3040" <= word[0] <= "\uffdc"
+def _hash(word: str) -> int:
+    """64 bits that are never 0; the last one tells scripts without spaces."""
+    return xxhash.xxh64_intdigest(word) & ~1 | 2 | ("\u3040" <= word[0] <= "\uffdc")
 
 
-def _hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word) | 1
+def hashes_of(words: list[str], known: dict[str, int]) -> list[int]:
+    """Hashes of words; ``known`` keeps them for the next call."""
+    try:
+        return [known[w] for w in words]
+    except KeyError:
+        for word in set(words).difference(known):
+            known[word] = _hash(word)
+        return [known[w] for w in words]
 
 
-def terms_of(hashes: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Term and its length at each position; length 0 where no term begins. A hash of 0 stands for a word that no term holds."""
+def terms_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Term and its length at each position; length 0 where no term begins. No term reaches over a hash of 0."""
     n = len(hashes)
+    wide = (hashes & np.uint64(1)).astype(bool)
     terms, lengths = np.zeros(n, np.uint64), np.zeros(n, np.int32)
     if not n:
         return terms, lengths
@@ -99,34 +114,18 @@ def terms_of(hashes: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return terms, lengths
 
 
-def _shared_leads(items: dict[int, list[str]]) -> dict[int, int]:
-    """Per item the number of words at its beginning that it shares with others."""
-    counts: Counter = Counter()
-    for words in items.values():
-        counts.update(tuple(words[:k]) for k in range(1, min(LONGEST_LEAD, len(words)) + 1))
-    leads = {}
-    for item, words in items.items():
-        shared = [k for k in range(1, min(LONGEST_LEAD, len(words)) + 1) if counts[tuple(words[:k])] >= SHARED_LEAD]
-        leads[item] = max(shared) if shared and max(shared) < len(words) else 0
-    return leads
-
-
 class TestTerms:
     """Terms of the test items: sorted, each with the places in items where it stands."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        plain = {int(i): words_of(t) for i, t in items if i is not None and t}
-        leads = _shared_leads(plain)
-        self.words: dict[str, tuple[int, bool]] = {}
+    def __init__(self, items: dict[int, list[str]]) -> None:
+        """``items`` has the words of each item without its shared beginning."""
+        known: dict[str, int] = {}
         parts: list[tuple[np.ndarray, ...]] = []
-        self.items = np.array(sorted(plain), np.int64)
+        self.items = np.array(sorted(items), np.int64)
         self.item_words, self.item_terms = np.zeros(len(self.items), np.int64), np.zeros(len(self.items), np.int64)
         for number, item in enumerate(self.items.tolist()):
-            own = plain[item][leads[item] :]
-            for word in own:
-                if word not in self.words:
-                    self.words[word] = (_hash(word), _wide(word))
-            terms, lengths = terms_of(np.array([self.words[w][0] for w in own], np.uint64), np.array([self.words[w][1] for w in own], bool))
+            own = items[item]
+            terms, lengths = terms_of(np.array(hashes_of(own, known), np.uint64))
             at = np.flatnonzero(lengths)
             self.item_words[number], self.item_terms[number] = len(own), len(at)
             parts.append((terms[at].view(np.int64), np.full(len(at), number), at, lengths[at].astype(np.int64)))
@@ -151,65 +150,88 @@ class TestTerms:
         return np.clip(np.ceil(least_share * self.item_terms - 1e-9) - (self.item_terms - rare), 1, LEAST_RARE)
 
 
-_INDEX = "doc_id long, terms array<long>, places array<int>"
+INDEX = "low long, high long, terms array<long>, documents array<long>, places array<int>"
 
 
-def _lists(flat: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat, kind))
+def _shard(terms: np.ndarray, documents: np.ndarray, places: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
+    """The sorted blocks of a shard, in batches of a few MB."""
+    order = np.argsort(terms, kind="stable")
+    terms, documents, places = terms[order], documents[order], places[order]
+    for lo in range(0, len(terms), 16 * block):
+        part = slice(lo, lo + 16 * block)
+        own = terms[part]
+        edges = np.append(np.arange(0, len(own), block), len(own)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(c)) for c in (own, documents[part], places[part])]
+        yield pa.RecordBatch.from_arrays([pa.array(own[edges[:-1]]), pa.array(own[edges[1:] - 1]), *lists], names=["low", "high", "terms", "documents", "places"])
 
 
-def _post(words: dict[str, tuple[int, bool]], known: np.ndarray) -> Callable:
+def _invert(shard: int, block: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_of = {w: h for w, (h, _) in words.items()}.get
-        wide_hashes = np.unique(np.array([h for h, w in words.values() if w], np.uint64))
+        known: dict[str, int] = {}
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for batch in batches:
             ids, counts, hashes = [], [], []
             for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = words_of(text)
-                hashes.extend([hash_of(w, 0) for w in found])
+                found = hashes_of(words_of(text), known)
+                hashes += found
                 hashes.append(0)  # no term reaches into the next document
                 ids.append(doc)
                 counts.append(len(found) + 1)
-            values = np.array(hashes, np.uint64)
-            terms, lengths = terms_of(values, np.isin(values, wide_hashes))
+            if len(known) > KNOWN_WORDS:
+                known = {}
+            terms, lengths = terms_of(np.array(hashes, np.uint64))
             at = np.flatnonzero(lengths)
-            hit = at[np.isin(terms[at].view(np.int64), known)]
-            starts = np.concatenate(([0], np.cumsum(counts)))
-            of = np.searchsorted(starts, hit, "right") - 1
-            ends = np.searchsorted(hit, starts[1:])
-            held = np.diff(np.concatenate(([0], ends))) > 0
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.array(ids, np.int64)[held] if ids else np.empty(0, np.int64)),
-                    _lists(terms[hit].view(np.int64), ends[held], pa.int64()),
-                    _lists((hit - starts[of]).astype(np.int32), ends[held], pa.int32()),
-                ],
-                names=["doc_id", "terms", "places"],
-            )
+            starts = np.cumsum([0, *counts])
+            of = np.repeat(np.arange(len(ids)), counts)[at]
+            held.append((terms[at].view(np.int64), np.array(ids, np.int64)[of], (at - starts[of]).astype(np.int32)))
+            size += len(at)
+            if size >= shard:
+                yield from _shard(*(np.concatenate(c) for c in zip(*held, strict=True)), block)
+                held, size = [], 0
+        if size:
+            yield from _shard(*(np.concatenate(c) for c in zip(*held, strict=True)), block)
 
     return run
 
 
-def postings(documents: DataFrame, doc_id: str, text: str, tests: TestTerms) -> DataFrame:
-    """The index: per document the test terms it holds and their places, as a written table."""
+def build_index(documents: DataFrame, doc_id: str, text: str, shard_postings: int = SHARD_POSTINGS, block_postings: int = BLOCK_POSTINGS) -> DataFrame:
+    """The positional postings of all terms of all documents, as a written table of sorted blocks."""
     whole = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and length(text) > 0")
-    return as_table(whole.mapInArrow(_post(tests.words, tests.terms), _INDEX), "postings")
+    return as_table(whole.mapInArrow(_invert(shard_postings, block_postings), INDEX), "postings")
 
 
-def document_frequency(index: DataFrame) -> DataFrame:
-    """(term, documents) over all documents; tasks count before anything is shuffled."""
+def _merge_lists(wanted: np.ndarray) -> Callable:
+    """Postings of the wanted terms, which are sorted, out of sorted blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms = batch.column(1).flatten().to_numpy()
-            rows = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
-            order = np.lexsort((rows, terms))
-            terms, rows = terms[order], rows[order]
-            once = np.concatenate(([True], (np.diff(terms) != 0) | (np.diff(rows) != 0))) if len(terms) else np.empty(0, bool)
-            found, counts = np.unique(terms[once], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts.astype(np.int64))], names=["term", "documents"])
+            terms = batch.column(2).flatten().to_numpy()
+            slot = np.searchsorted(wanted, terms)
+            hit = np.flatnonzero(wanted[np.minimum(slot, len(wanted) - 1)] == terms) if len(wanted) else np.empty(0, np.int64)
+            columns = [pa.array(terms[hit])] + [pa.array(batch.column(k).flatten().to_numpy()[hit]) for k in (3, 4)]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "doc_id", "place"])
 
-    return index.mapInArrow(run, "term long, documents long").groupBy("term").agg(F.sum("documents").alias("documents"))
+    return run
+
+
+def postings(index: DataFrame, tests: TestTerms) -> DataFrame:
+    """(doc_id, terms, places): the postings of the test terms, one row per document, as a written table."""
+    shared = index.sparkSession.sparkContext.broadcast(tests.terms)  # of one block of test items
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _merge_lists(shared.value)(batches)
+
+    inside = index.where((F.col("high") >= int(tests.terms[0])) & (F.col("low") <= int(tests.terms[-1]))) if len(tests.terms) else index.limit(0)
+    hits = inside.mapInArrow(run, "term long, doc_id long, place int")
+    # a document that comes twice has its postings twice, and is one document
+    lists = hits.groupBy("doc_id").agg(F.collect_set(F.struct("term", "place")).alias("hits"))
+    return as_table(lists.select("doc_id", F.col("hits.term").alias("terms"), F.col("hits.place").alias("places")), "test-postings")
+
+
+def document_frequency(lists: DataFrame) -> DataFrame:
+    """(term, documents) over all documents; tasks count before anything is shuffled."""
+    return lists.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("documents"))
 
 
 def _covered(tests: TestTerms, entry: np.ndarray) -> np.ndarray:
@@ -308,19 +330,64 @@ def _match(tests: TestTerms, least_share: float, most_places: int) -> Callable:
     return run
 
 
-def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, least_share: float = LEAST_SHARE, most_places: int = MOST_PLACES) -> DataFrame:
-    """(item_id, doc_id, term_share, covered_share, longest_phrase) of the documents that hold the items."""
-    context = documents.sparkSession.sparkContext
-    chosen = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    if (chars := chosen.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) > MAX_TEST_CHARS:
-        raise ValueError(f"the test items hold {chars} characters, more than {MAX_TEST_CHARS}: run them in blocks")
-    tests = TestTerms([tuple(r) for r in chosen.collect()])  # a stated query set, bounded above
-    index = postings(documents, doc_id, text, tests)
-    tests.keep_rarest({r[0]: r[1] for r in document_frequency(index).collect()})  # at most one row per term of the query set
-    shared = context.broadcast(tests)
+_FOUND = "item_id long, doc_id long, term_share double, covered_share double, longest_phrase int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _match(shared.value, least_share, most_places)(batches)
 
-    found = index.mapInArrow(run, "item_id long, doc_id long, term_share double, covered_share double, longest_phrase int")
-    return found.groupBy("item_id", "doc_id").agg(*[F.max(c).alias(c) for c in ("term_share", "covered_share", "longest_phrase")])
+def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of items and the hashes of all their beginnings."""
+    for batch in batches:
+        words = [words_of(t) for t in batch.column(1).to_pylist()]
+        begins = []
+        for own in words:
+            begin, every = 0, []
+            for word in own:
+                begin = xxhash.xxh64_intdigest(word, begin)
+                every.append(begin - (1 << 63))
+            begins.append(every)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array(begins, pa.list_(pa.int64()))], names=["item_id", "words", "begins"])
+
+
+def worded_items(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(item_id, words, lead): the words of each item, and how many of them are a beginning that ``SHARED_LEAD`` items have.
+
+    The longest such beginning counts that is not the whole item. Items that come twice are one.
+    """
+    chosen = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and length(text) > 0")
+    plain = as_table(chosen.mapInArrow(_worded, "item_id long, words array<string>, begins array<long>").dropDuplicates(["item_id"]), "items")
+    begins = plain.select("item_id", F.size("words").alias("size"), F.posexplode("begins").alias("at", "begin"))
+    shared = begins.groupBy("at", "begin").agg(F.count("*").alias("items")).where(F.col("items") >= SHARED_LEAD)
+    leads = begins.where("at + 1 < size").join(shared, ["at", "begin"], "left_semi").groupBy("item_id").agg(F.max(F.col("at") + 1).alias("lead"))
+    return plain.join(leads, "item_id", "left").select("item_id", "words", F.coalesce("lead", F.lit(0)).alias("lead"))
+
+
+def item_blocks(worded: DataFrame, block_chars: int) -> Iterator[dict[int, list[str]]]:
+    """The items' own words in blocks of at most so many characters, or of one item."""
+    block: dict[int, list[str]] = {}
+    size = 0
+    for row in worded.orderBy("item_id").toLocalIterator():
+        own = row["words"][row["lead"] :]
+        width = sum(map(len, own))
+        if block and size + width > block_chars:
+            yield block
+            block, size = {}, 0
+        block[row["item_id"]] = own
+        size += width
+    if block:
+        yield block
+
+
+def leaks(index: DataFrame, items: DataFrame, item_id: str, item_text: str, least_share: float = LEAST_SHARE, most_places: int = MOST_PLACES, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(item_id, doc_id, term_share, covered_share, longest_phrase) of the documents that hold the items; ``index`` comes from :func:`build_index`."""
+    context = index.sparkSession.sparkContext
+    found = index.sparkSession.createDataFrame([], _FOUND)
+    for block in item_blocks(worded_items(items, item_id, item_text), block_chars):
+        tests = TestTerms(block)
+        lists = postings(index, tests)
+        tests.keep_rarest({r[0]: r[1] for r in document_frequency(lists).collect()})  # at most one row per term of the block
+        shared = context.broadcast(tests)
+
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            return _match(shared.value, least_share, most_places)(batches)
+
+        found = found.unionByName(lists.mapInArrow(run, _FOUND))
+    return found

@@ -2,8 +2,12 @@ import random
 
 import pytest
 
-from shelfspark.llm import leakage
-from shelfspark.llm.leakage import leaks, words_of
+from shelfspark.llm.leakage import build_index, leaks, words_of, worded_items
+
+
+def found(spark, docs, items, **options):
+    documents = docs if hasattr(docs, "columns") else spark.createDataFrame(docs, DOC)
+    return leaks(build_index(documents, "doc_id", "text"), spark.createDataFrame(items, ITEM), "item_id", "text", **options).collect()
 
 LEAD = "Read the passage and answer the question."
 WORDS = [f"w{chr(97 + i % 26)}{i}" for i in range(900)]
@@ -47,14 +51,48 @@ def case():
 
 
 def test_finds_the_leaks(spark, case):
-    items, docs, found = case
+    items, docs, wanted = case
     documents = spark.createDataFrame(docs + docs[:1], DOC).selectExpr("*", "'x' as item_id", "1 as terms")
-    got = leaks(documents, "doc_id", "text", spark.createDataFrame([*items, (99, None), (98, "one two")], ITEM), "item_id", "text").collect()
-    assert {(r.item_id, r.doc_id) for r in got} == found and len(got) == len(found)
+    got = found(spark, documents, [*items, (99, None), (98, "one two"), items[0]])
+    assert {(r.item_id, r.doc_id) for r in got} == wanted and len(got) == len(wanted)
     whole = {(r.item_id, r.doc_id): r for r in got}[0, 1]
     assert whole.term_share == 1 and whole.covered_share == 1 and whole.longest_phrase == 60
-    again = leaks(documents, "doc_id", "text", spark.createDataFrame(items, ITEM), "item_id", "text", most_places=5).collect()
-    assert {(r.item_id, r.doc_id) for r in again} == found
+    again = found(spark, documents, items, most_places=5)
+    assert {(r.item_id, r.doc_id) for r in again} == wanted
+
+
+def test_blocks_of_items_and_shards_change_nothing(spark, case):
+    """Items beyond one block are searched in further blocks of the same index, which may have any number of shards."""
+    items, docs, wanted = case
+    index = build_index(spark.createDataFrame(docs, DOC), "doc_id", "text", 500, 40)
+    assert index.where("low > high or size(terms) <> size(documents) or size(terms) > 40 or terms <> sort_array(terms)").count() == 0
+    terms = index.selectExpr("sum(size(terms))").first()[0]
+    assert terms > sum(len(t.split()) for _, t in docs if t and t.isascii()) / 2  # of all words, not of the test items only
+    for block_chars in (1, 300, 10**9):
+        got = leaks(index, spark.createDataFrame(items, ITEM), "item_id", "text", block_chars=block_chars).collect()
+        assert {(r.item_id, r.doc_id) for r in got} == wanted and len(got) == len(wanted)
+
+
+def test_shared_leads_have_any_length(spark):
+    lead = " ".join(f"lead{k}" for k in range(200))
+    items = [(k, f"{lead} own{k} text") for k in range(5)] + [(7, lead), (8, f"{lead} own0")] + [(9, "lead0 lead1 other"), (10, "")]
+    got = {r.item_id: r.lead for r in worded_items(spark.createDataFrame(items, ITEM), "item_id", "text").collect()}
+    assert got == {**dict.fromkeys(range(5), 200), 7: 199, 8: 200, 9: 2}
+
+
+def test_parts_in_any_order_and_far_apart(spark):
+    """Two places 400 words apart, stretches of 12 words with insertions, halves that changed places."""
+    rng = random.Random(15)
+    own = passage(rng, 60).split()
+    prose = lambda n=400: passage(rng, n)
+    docs = [
+        (1, " ".join(own[:21]) + " " + prose() + " " + " ".join(own[39:])),
+        (2, " ".join(" ".join(own[k : k + 12]) + " " + prose(100) for k in range(0, 60, 12))),
+        (3, " ".join(own[30:] + own[:30])),
+        (4, prose()),
+    ]
+    got = {r.doc_id: r for r in found(spark, docs, [(1, " ".join(own))])}
+    assert set(got) == {1, 2, 3} and got[3].term_share > 0.9 and got[2].term_share > 0.75
 
 
 def test_short_items_and_items_in_several_places(spark):
@@ -71,7 +109,7 @@ def test_short_items_and_items_in_several_places(spark):
     # the rarest of the short item are the last in documents that hold its beginning: half of it has one rare term
     docs += [(10 + k, " ".join(ten[:5])) for k in range(3)]
     items = [(1, " ".join(long)), (2, " ".join(ten)), (3, three)]
-    got = leaks(spark.createDataFrame(docs, DOC), "doc_id", "text", spark.createDataFrame(items, ITEM), "item_id", "text").collect()
+    got = found(spark, docs, items)
     assert {(r.item_id, r.doc_id) for r in got} == {(1, 1), (2, 2), (3, 3)}
     whole = {r.item_id: r for r in got}[1]
     assert whole.term_share == 28 / 60 and whole.longest_phrase == 16
@@ -79,15 +117,7 @@ def test_short_items_and_items_in_several_places(spark):
 
 def test_empty_tables(spark, case):
     items, docs, _ = case
-    assert leaks(spark.createDataFrame([], DOC), "doc_id", "text", spark.createDataFrame(items, ITEM), "item_id", "text").collect() == []
-    assert leaks(spark.createDataFrame(docs, DOC), "doc_id", "text", spark.createDataFrame([], ITEM), "item_id", "text").collect() == []
-
-
-def test_the_query_set_is_bounded(spark, case, monkeypatch):
-    monkeypatch.setattr(leakage, "MAX_TEST_CHARS", 10)
-    items, docs, _ = case
-    with pytest.raises(ValueError, match="blocks"):
-        leaks(spark.createDataFrame(docs, DOC), "doc_id", "text", spark.createDataFrame(items, ITEM), "item_id", "text")
+    assert found(spark, [], items) == [] == found(spark, docs, [])
 
 
 def test_plain_words():
