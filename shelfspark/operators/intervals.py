@@ -6,7 +6,8 @@ Three steps, none of which puts all intervals of one entity into one task:
    overlaps by binary search and merges it. What leaves the task is already merged, so a hot entity shrinks before the
    shuffle.
 2. The maps of one (entity, block) are merged the same way. The key holds the block, so an entity with a third of all
-   rows spreads over as many tasks as it has blocks.
+   rows spreads over as many tasks as it has blocks. In ``streaming/keyed.py`` these maps and their gaps are the state of
+   a stream, into which the maps of each micro-batch are inserted.
 3. Blocks are joined up through a summary of one row per (entity, block): the furthest end of all earlier blocks tells
    which leading intervals of a block belong to a period that began before it.
 
@@ -32,7 +33,8 @@ BLOCK_MS = 3_600_000
 #: A task passes its maps on when they hold this many intervals together, so its memory is bounded.
 FLUSH_INTERVALS = 200_000
 
-_MAP_SCHEMA = "record_table string, entity string, block long, starts array<long>, ends array<long>"
+#: One map of an entity and block: its intervals, and for each but the last where the gap behind it ends.
+MAP_SCHEMA = "record_table string, entity string, block long, starts array<long>, ends array<long>, gap_ends array<long>"
 
 
 class IntervalMap:
@@ -80,8 +82,9 @@ def _batch(maps: dict[tuple, IntervalMap]) -> pa.RecordBatch:
             pa.array([k[2] for k in keys], pa.int64()),
             pa.array([m.starts for m in maps.values()], longs),
             pa.array([m.ends for m in maps.values()], longs),
+            pa.array([m.starts[1:] for m in maps.values()], longs),
         ],
-        names=["record_table", "entity", "block", "starts", "ends"],
+        names=["record_table", "entity", "block", "starts", "ends", "gap_ends"],
     )
 
 
@@ -106,7 +109,7 @@ def _merge_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     done: dict[tuple, IntervalMap] = {}
     held, key, current = 0, None, IntervalMap()
     for batch in batches:
-        for table, entity, block, starts, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for table, entity, block, starts, ends in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
             if (table, entity, block) != key:
                 if key is not None:
                     done[key] = current
@@ -139,18 +142,22 @@ def intervals_of(df: DataFrame, record_table: str, entity: str, start_seconds: s
     ).where("entity is not null and start_ms is not null and end_ms > start_ms")
 
 
-def block_maps(intervals: DataFrame, block_ms: int = BLOCK_MS) -> DataFrame:
-    """One ordered disjoint-interval map per (record_table, entity, block)."""
+def partial_maps(intervals: DataFrame, block_ms: int = BLOCK_MS) -> DataFrame:
+    """Maps of (record_table, entity, block) as each task finds them; several tasks may have one of the same key."""
     keyed = intervals.where(
         "entity is not null and start_ms is not null and end_ms is not null and end_ms > start_ms"
     ).select(
         "record_table", "entity", F.floor(F.col("start_ms") / F.lit(block_ms)).cast("long").alias("block"), "start_ms", "end_ms"
     )
-    partial = keyed.mapInArrow(_rows_to_maps, _MAP_SCHEMA)
+    return keyed.mapInArrow(_rows_to_maps, MAP_SCHEMA)
+
+
+def block_maps(intervals: DataFrame, block_ms: int = BLOCK_MS) -> DataFrame:
+    """One ordered disjoint-interval map per (record_table, entity, block)."""
     return (
-        partial.repartition("record_table", "entity", "block")
+        partial_maps(intervals, block_ms).repartition("record_table", "entity", "block")
         .sortWithinPartitions("record_table", "entity", "block")
-        .mapInArrow(_merge_maps, _MAP_SCHEMA)
+        .mapInArrow(_merge_maps, MAP_SCHEMA)
     )
 
 
@@ -196,7 +203,7 @@ def joined_blocks(maps: DataFrame) -> DataFrame:
                     F.slice("starts", F.col("absorbed") + 1, F.size("starts")).alias("s"),
                     F.slice("ends", F.col("absorbed") + 1, F.size("ends")).alias("e"),
                     F.concat(
-                        F.slice("starts", F.col("absorbed") + 2, F.size("starts")),
+                        F.slice("gap_ends", F.col("absorbed") + 1, F.size("starts")),
                         F.array(F.col("following.next_start")),
                     ).alias("n"),
                 )

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.operators.intervals import intervals_of, periods_and_gaps
+from shelfspark.operators.intervals import intervals_of
 from shelfspark.sources.tables import table
+from shelfspark.streaming.keyed import streamed_periods_and_gaps
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Periods and gaps per ``video_key`` of chunk_segments and per ``asset_path`` of asset_hits."""
+    """Periods and gaps per ``video_key`` of chunk_segments and per ``asset_path`` of asset_hits, from the keyed state of a stream."""
     rows = intervals_of(
         table(spark, sf_dir, "chunk_segments"), "chunk_segments", "video_key", "start_seconds", "end_seconds"
     ).unionByName(intervals_of(table(spark, sf_dir, "asset_hits"), "asset_hits", "asset_path", "start_seconds", "end_seconds"))
-    return periods_and_gaps(rows).withColumnRenamed("entity", "entity_key")
+    return streamed_periods_and_gaps(rows).withColumnRenamed("entity", "entity_key")
 
 
 def p3_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

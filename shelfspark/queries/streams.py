@@ -5,22 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.operators.intervals import intervals_of, joined_blocks
+from shelfspark.operators.intervals import intervals_of
 from shelfspark.queries.intervals import SPANS
-from shelfspark.session import as_table, fresh_path
+from shelfspark.session import fresh_path
 from shelfspark.sources.streams import table_stream
+from shelfspark.sources.tables import table
 from shelfspark.streaming import keyed
 
 
 def x6_interval_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Periods and gaps of the segments' videos from maps that a stream keeps."""
-    rows = intervals_of(table_stream(spark, sf_dir, "chunk_segments", 8), "chunk_segments", "video_key", "start_seconds", "end_seconds")
-    path, checkpoint = fresh_path(spark, "maps"), fresh_path(spark, "progress")
-    keyed.run_to_table(keyed.interval_maps(rows), path, checkpoint, "update")
-    key = ["record_table", "entity", "block"]
-    maps = spark.read.schema("record_table string, entity string, block long, starts array<long>, ends array<long>, micro_batch int").parquet(path)
-    newest = maps.groupBy(*key).agg(F.max_by(F.struct("starts", "ends"), "micro_batch").alias("m")).select(*key, "m.starts", "m.ends")
-    return joined_blocks(as_table(newest, "newest-maps")).withColumnRenamed("entity", "entity_key")
+    """Periods and gaps of the segments' videos from maps that a stream keeps, by sixteen arrivals."""
+    rows = intervals_of(table(spark, sf_dir, "chunk_segments"), "chunk_segments", "video_key", "start_seconds", "end_seconds")
+    return keyed.streamed_periods_and_gaps(rows, micro_batches=16).withColumnRenamed("entity", "entity_key")
 
 
 def x5_drained_batches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
-from shelfspark.operators.intervals import joined_blocks
 from shelfspark.sources.streams import payload_stream
 from shelfspark.streaming import keyed
+from tests.test_intervals import brute
 
 
 def stream_of(spark, path, rows, schema, parts=2):
@@ -14,14 +15,33 @@ def stream_of(spark, path, rows, schema, parts=2):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
 
 
-def test_interval_maps(spark, tmp_path):
-    rows = [("t", "a", 0, 10), ("t", "a", 20, 30), ("t", "a", 10, 20), ("t", "a", 5_000_000, 5_000_001), ("t", "b", 3, 4), ("t", "b", None, 4), ("t", "a", 0, 10)]
-    stream = stream_of(spark, tmp_path / "in", rows, "record_table string, entity string, start_ms long, end_ms long")
-    keyed.run_to_table(keyed.interval_maps(stream), str(tmp_path / "out"), str(tmp_path / "progress"), "update")
-    maps = spark.read.parquet(str(tmp_path / "out"))
-    newest = maps.groupBy("record_table", "entity", "block").agg(F.max_by(F.struct("starts", "ends"), "micro_batch").alias("m")).select("record_table", "entity", "block", "m.*")
-    got = {tuple(r)[1:] for r in joined_blocks(newest).collect()}
-    assert got == {("a", "period", 0, 30), ("a", "gap", 30, 5_000_000), ("a", "period", 5_000_000, 5_000_001), ("b", "period", 3, 4)}
+SPANS = "entity string, start_ms long, end_ms long"
+
+
+def test_interval_maps_over_many_micro_batches(spark):
+    """State is read, changed and written again by each of nine micro-batches; periods and gaps come out of it."""
+    rng = random.Random(5)
+    rows = [("hot", s := rng.randrange(200_000), s + rng.choice([1, 5, 300, 900, 2500, 9000])) for _ in range(1500)]
+    rows += [(f"e{i % 40}", s := rng.randrange(8000), s + rng.randrange(1, 1500)) for i in range(600)]
+    rows += [("a", 0, 10), ("a", 20, 30), ("a", 10, 20), ("a", 5_000_000, 5_000_001), ("b", 3, 4), ("b", None, 4), (None, 1, 2), ("b", 4, 4), ("a", 0, 10)] + rows[:200]
+    df = spark.createDataFrame(rows, SPANS).selectExpr("'t' as record_table", "*", "'x' as block", "1 as change")
+    for block_ms in (1000, 10**9):
+        got = {tuple(r)[1:] for r in keyed.streamed_periods_and_gaps(df, 9, block_ms).collect()}
+        assert got == brute([r for r in rows if None not in r and r[2] > r[1]])
+    assert keyed.streamed_periods_and_gaps(df.limit(0)).collect() == []
+
+
+def test_only_changes_leave_the_stream(spark, tmp_path):
+    schema = "record_table string, entity string, block long, starts array<long>, ends array<long>, gap_ends array<long>"
+    maps = [("t", "a", 0, [0, 20], [10, 30], [20]), ("t", "a", 0, [5], [8], []), ("t", "a", 0, [10, 40], [20, 50], [40])]
+    for row in maps:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    keyed.run_to_table(keyed.interval_changes(stream, 1), str(tmp_path / "out"), str(tmp_path / "progress"), "update")
+    changes = spark.read.parquet(str(tmp_path / "out"))
+    by_batch = {k: {(r.span_kind, r.start_ms, r.end_ms, r.change) for r in changes.where(f"micro_batch = {k}").collect()} for k in range(3)}
+    assert by_batch[0] == {("period", 0, 10, 1), ("period", 20, 30, 1), ("gap", 10, 20, 1)} and by_batch[1] == set()
+    assert by_batch[2] == {("period", 0, 10, -1), ("period", 20, 30, -1), ("gap", 10, 20, -1), ("period", 0, 30, 1), ("period", 40, 50, 1), ("gap", 30, 40, 1)}
 
 
 def test_frames_that_look_alike(spark, tmp_path):
