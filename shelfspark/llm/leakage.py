@@ -38,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.session import as_table
+from shelfspark.session import as_table, fresh_path
 
 WORDS, CHARACTERS = 3, 5
 SHARED_LEAD = 5
@@ -198,7 +198,9 @@ def _invert(shard: int, block: int) -> Callable:
 def build_index(documents: DataFrame, doc_id: str, text: str, shard_postings: int = SHARD_POSTINGS, block_postings: int = BLOCK_POSTINGS) -> DataFrame:
     """The positional postings of all terms of all documents, as a written table of sorted blocks."""
     whole = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and length(text) > 0")
-    return as_table(whole.mapInArrow(_invert(shard_postings, block_postings), INDEX), "postings")
+    path = fresh_path(documents.sparkSession, "postings")
+    whole.mapInArrow(_invert(shard_postings, block_postings), INDEX).write.option("compression", "zstd").parquet(path)
+    return documents.sparkSession.read.schema(INDEX).parquet(path)
 
 
 def _merge_lists(wanted: np.ndarray) -> Callable:
