@@ -34,6 +34,7 @@ def trimmed(text: Column) -> Column:
 
 def normalized_text(text: Column) -> Column:
     """Line ends as LF, tabs and NULs as spaces, no space before a line end, at most three line ends in a row, trimmed."""
+    # The steps and their order, which decide on every offset.
     steps = [(r"\r\n?", "\n"), (r"\x00", " "), (r"[\t\f\x0B]+", " "), (r"[ \x{A0}]+\n", "\n"), (r"\n{4,}", "\n\n\n")]
     for pattern, by in steps:
         text = F.regexp_replace(text, pattern, by)
@@ -52,19 +53,19 @@ def nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) and not t.isascii() else t)
 
 
-def searchable_name(name: Column, compatibility: bool = False) -> Column:
-    """Lower case, without a file extension, anything but letters and digits as one space.
-
-    ``compatibility`` also folds compatibility forms, at the price of a pass through Python.
-    """
-    base = F.lower(nfkc(name) if compatibility else name)
+def searchable_name(name: Column) -> Column:
+    """Compatibility forms folded, lower case, without a file extension, anything but letters and digits as one space."""
+    base = F.lower(nfkc(name))
     base = F.regexp_replace(base, r"\.[a-z0-9]{1,8}$", "")
     return F.trim(F.regexp_replace(base, r"[^\p{L}\p{N}]+", " "))
 
 
-def lexical_boost(query: Column, name: Column, extension: Column) -> Column:
-    """Lift of a hit whose file name stands in the query, plus that of a named file format; 0 where either is blank."""
-    wanted, own = searchable_name(query), searchable_name(name)
+def lexical_boost(query: Column, wanted: Column, own: Column, extension: Column) -> Column:
+    """Lift of a hit whose file name stands in the query, plus that of a named file format; 0 where either is blank.
+
+    ``wanted`` and ``own`` are the searchable forms of query and name, as columns of a frame: they are made in Python,
+    which the functions over their words cannot hold.
+    """
     tokens = F.filter(F.split(own, " "), lambda t: F.length(t) >= 2)
     matched = F.size(F.filter(tokens, lambda t: F.contains(wanted, t)))
     share = F.least(F.lit(TOKEN_CAP), F.lit(TOKEN_BASE) + F.lit(TOKEN_SPAN) * matched / F.greatest(F.size(tokens), F.lit(1)))
@@ -85,15 +86,15 @@ def preview(text: Column, limit: int = 280) -> Column:
     return F.substring(collapsed(text), 1, limit)
 
 
-def space_slug(model: Column, dimension: Column, style: Column) -> Column:
-    """Name of an embedding space from the model, its dimension and its input style."""
-    text = F.concat_ws("-", F.lower(model), dimension.cast("string"), style, F.lit("indexed-v1"))
+def space_slug(model: Column, dimension: Column, style: Column, version: str) -> Column:
+    """Name of an embedding space from the model, its dimension, its input style and the version of the naming."""
+    text = F.concat_ws("-", F.lower(model), dimension.cast("string"), style, F.lit(version))
     return F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9._-]+", "-"), r"^-+|-+$", "")
 
 
-def input_style(model: Column, style: Column) -> Column:
-    """The input style asked for; ``auto`` looks at the model's name."""
-    return F.when(style.isNull() | style.isin("", "auto"), F.when(F.contains(F.lower(model), F.lit("wemm")), "wemm").otherwise("qwen")).otherwise(style)
+def input_style(model: Column, style: Column, family: str, other: str) -> Column:
+    """The input style asked for; ``auto`` is that of a model family where the model's name holds it, else another."""
+    return F.when(style.isNull() | style.isin("", "auto"), F.when(F.contains(F.lower(model), F.lit(family)), family).otherwise(other)).otherwise(style)
 
 
 def safe_name(name: Column, limit: int = 24) -> Column:
@@ -101,8 +102,8 @@ def safe_name(name: Column, limit: int = 24) -> Column:
     return F.substring(F.regexp_replace(F.lower(name), r"[^a-z0-9_-]+", "_"), 1, limit)
 
 
-def messages(style: Column, instruction: Column, text: Column) -> Column:
-    """Chat messages of an embedding request: one user message in the wemm style, else system and user."""
+def messages(style: Column, instruction: Column, text: Column, joined_style: str) -> Column:
+    """Chat messages of an embedding request: one user message in the joined style, else system and user."""
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     one = F.array(message("user", F.concat_ws("\n", instruction, text)))
-    return F.when(style == "wemm", one).otherwise(F.array(message("system", instruction), message("user", text)))
+    return F.when(style == joined_style, one).otherwise(F.array(message("system", instruction), message("user", text)))

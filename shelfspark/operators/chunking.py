@@ -6,6 +6,8 @@ one text at a time.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,40 +25,52 @@ BATCH_CHARACTERS = 1 << 24
 SEARCH_FROM = 0.58
 CUE_SECONDS, CUE_CHARACTERS = 25.0, 180
 
-# Where a chunk may end besides blank lines.
-SENTENCE_MARKS = ("。", "！", "？", ". ", "! ", "? ", "\n")
+# Where a chunk may end besides blank lines. The blank behind a mark has to lie in the chunk's window, too.
+_BLANK_LINE = re.compile(r"\n(?=\n)")
+_MARK = re.compile(r"[。！？\n]")
+_SPACED_MARK = re.compile(r"[.!?](?= )")
+_SOLID = re.compile(r"\S")
 
 
-def window_end(text: str, begin: int, characters: int = CHARACTERS) -> int:
-    """Where the chunk that begins at ``begin`` ends: after the last blank line of the window, else after its last sentence mark."""
-    most = begin + characters
-    if most >= len(text):
-        return len(text)
-    least = begin + int(characters * SEARCH_FROM)
-    blank = text.rfind("\n\n", least, most)
-    if blank >= 0:
-        return blank + 2
-    mark = max(text.rfind(m, least, most) for m in SENTENCE_MARKS)
-    return mark + 1 if mark >= 0 else most
+class Boundaries:
+    """All places of a text at which a chunk may end, by their strength and in order, found in one pass each.
+
+    A place is the number of characters before it; its sign may need some of them, and room behind it.
+    """
+
+    def __init__(self, text: str) -> None:
+        blank_lines = [found.start() + 2 for found in _BLANK_LINE.finditer(text)]
+        marks = [found.end() for found in _MARK.finditer(text)]
+        spaced = [found.end() for found in _SPACED_MARK.finditer(text)]
+        #: Per strength the lists of places, each with the characters of its sign before the place and behind it.
+        self.strengths = [[(blank_lines, 2, 0)], [(marks, 1, 0), (spaced, 1, 1)]]
+
+    def last(self, low: int, high: int) -> int:
+        """The last of the strongest places whose signs lie within low..high; ``high`` if there is none."""
+        for lists in self.strengths:
+            found = [places[at - 1] for places, sign, room in lists if (at := bisect_right(places, high - room)) and places[at - 1] >= low + sign]
+            if found:
+                return max(found)
+        return high
 
 
 def windows(text: str, characters: int = CHARACTERS, overlap: int = OVERLAP, most: int | None = None) -> list[tuple[int, int]]:
-    """(from, to) of the chunks of a normalised text, without white space at their ends; the first ``most`` of them if that is given."""
-    found: list[tuple[int, int]] = []
-    begin = 0
-    while begin < len(text) and (most is None or len(found) < most):
-        end = max(begin + 1, window_end(text, begin, characters))
-        body = text[begin:end]
-        inner = body.strip()
-        if inner:
-            start = begin + len(body) - len(body.lstrip())
-            found.append((start, start + len(inner)))
-        if end == len(text):
-            break
-        begin = max(begin + 1, end - overlap)
-        while begin < end and text[begin].isspace():
-            begin += 1
-    return found
+    """(from, to) of the chunks of a normalised text, without white space at their ends; the first ``most`` of them if that is given.
+
+    Every chunk ends at the last of the strongest places in the rest of its window, and the next begins with the first
+    character that is not white space from ``overlap`` characters before that place on.
+    """
+    places = Boundaries(text)
+    chunks: list[tuple[int, int]] = []
+    begin, end = 0, -1
+    while end < len(text) and (most is None or len(chunks) < most):
+        reach = begin + characters
+        end = len(text) if reach >= len(text) else max(begin + 1, places.last(begin + int(characters * SEARCH_FROM), reach))
+        if solid := _SOLID.search(text, begin, end):
+            chunks.append((solid.start(), begin + len(text[begin:end].rstrip())))
+        back = max(begin + 1, end - overlap)
+        begin = solid.start() if (solid := _SOLID.search(text, back, end)) else end
+    return chunks
 
 
 def document_chunks(rows: DataFrame, key: str, text: str, characters: int = CHARACTERS, overlap: int = OVERLAP, most: int | None = None) -> DataFrame:

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from shelfspark.functions.paths import SIDECARS, ancestors, extension, folder, stem
 
 
-def scan_states(files: DataFrame, indexed: DataFrame) -> DataFrame:
+def scan_states(files: DataFrame, held_rows: DataFrame) -> DataFrame:
     """(root, path, state) with state pending, skipped or vanished.
 
-    ``files`` has (root, path, fingerprint), one row per file; ``indexed`` has (root, path, fingerprint, current), one row
+    ``files`` has (root, path, fingerprint), one row per file; ``held_rows`` has (root, path, fingerprint, current), one row
     per chunk. A file is skipped only if all its rows are current and one of them has its fingerprint.
     """
-    known = indexed.groupBy("root", "path").agg(
+    known = held_rows.groupBy("root", "path").agg(
         F.collect_set("fingerprint").alias("known"), F.min(F.coalesce("current", F.lit(False))).alias("all_current")
     )
     state = (
@@ -38,13 +38,13 @@ def input_current(kind: Column, version: Column, expected: Column, chunk_version
     )
 
 
-def coverage(files: DataFrame, indexed: DataFrame) -> DataFrame:
+def coverage(files: DataFrame, held_rows: DataFrame) -> DataFrame:
     """(root, kind, path, state) with state cached, pending, stale or missing.
 
-    ``files`` has (root, path, kind, fingerprint); ``indexed`` (root, path, fingerprint, current, written) of which the last
+    ``files`` has (root, path, kind, fingerprint); ``held_rows`` (root, path, fingerprint, current, written) of which the last
     row of a path counts.
     """
-    last = indexed.groupBy("root", "path").agg(F.max_by(F.struct("fingerprint", "current"), "written").alias("last"))
+    last = held_rows.groupBy("root", "path").agg(F.max_by(F.struct("fingerprint", "current"), "written").alias("last"))
     state = (
         F.when(F.col("fingerprint").isNull(), "missing")
         .when(F.col("last").isNull(), "pending")
@@ -61,14 +61,14 @@ def coverage_totals(states: DataFrame) -> DataFrame:
     return known.rollup("root", "kind").agg(*counts, F.grouping_id().cast("int").alias("level"))
 
 
-def missing_rows(indexed: DataFrame, files: DataFrame) -> DataFrame:
+def missing_rows(held_rows: DataFrame, files: DataFrame) -> DataFrame:
     """Index rows whose file is gone."""
-    return indexed.join(files.select("path").distinct(), "path", "left_anti")
+    return held_rows.join(files.select("path").distinct(), "path", "left_anti")
 
 
-def missing_by_file(indexed: DataFrame, files: DataFrame) -> DataFrame:
+def missing_by_file(held_rows: DataFrame, files: DataFrame) -> DataFrame:
     """Gone files with the number of their rows, most first."""
-    return missing_rows(indexed, files).groupBy("path").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "path")
+    return missing_rows(held_rows, files).groupBy("path").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "path")
 
 
 def sidecars(files: DataFrame, partners: DataFrame) -> DataFrame:

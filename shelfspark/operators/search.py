@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfspark.functions.text import boosted, lexical_boost
+from shelfspark.functions.text import boosted, lexical_boost, searchable_name
 from shelfspark.functions.vectors import cosine, usable
 
 MOST_RESULTS, DEFAULT_RESULTS = 500, 60
-#: Query vectors that travel with the tasks of one search; more are run in blocks by the caller.
-MOST_QUERIES = 200_000
+#: Query vectors that travel with the tasks of one scan, and scores that a task holds at a time.
+QUERY_BLOCK, SCORE_CELLS = 20_000, 4_000_000
 
 
 def bounded(limit: int | None, default: int = DEFAULT_RESULTS, most: int = MOST_RESULTS) -> int:
@@ -33,45 +35,85 @@ def top_k(rows: DataFrame, vector: str, query: list[float], key: str, limit: int
     return scored.orderBy(F.desc("score"), key).limit(bounded(limit))
 
 
-def top_k_many(rows: DataFrame, vector: str, key: str, space: Column, queries: DataFrame, dimension: int, k: int) -> DataFrame:
-    """(query_no, rank, neighbour_no, score): exact search of many queries (query_no, space, vector) against all rows.
+class _Best:
+    """The k best neighbours of each query so far, ties by the smaller key."""
 
-    The queries are a stated set, checked to be at most ``MOST_QUERIES``. Each task multiplies its rows with all queries
-    of their space and passes on its own best; the best of those are taken per query. A row is no neighbour of itself.
-    """
-    stated = queries.select("query_no", "space", "vector").limit(MOST_QUERIES + 1).collect()
-    if len(stated) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: run them in blocks")
-    by_space: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for name in {r.space for r in stated}:
-        own = [r for r in stated if r.space == name]
-        block = np.array([r.vector for r in own], np.float64)
-        by_space[name] = np.array([r.query_no for r in own], np.int64), block / np.linalg.norm(block, axis=1, keepdims=True)
-    shared = rows.sparkSession.sparkContext.broadcast(by_space)
+    def __init__(self, k: int, most: int) -> None:
+        self.k, self.most, self.size = k, most, 0
+        self.pool: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, query: np.ndarray, key: np.ndarray, score: np.ndarray) -> None:
+        self.pool.append((query, key, score))
+        self.size += len(query)
+        if self.size > self.most:
+            self.pool = [self.kept()]
+            self.size = len(self.pool[0][0])
+
+    def kept(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, key, score = (np.concatenate(c) for c in zip(*self.pool, strict=True))
+        order = np.lexsort((key, -np.round(score, 9), query))
+        query, key, score = query[order], key[order], score[order]
+        first = np.searchsorted(query, query, "left")
+        top = np.arange(len(query)) - first < self.k
+        return query[top], key[top], score[top]
 
+
+def _nearest(by_space: dict[str, tuple[np.ndarray, np.ndarray]], dimension: int, k: int, cells: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(k, max(cells, 2 * k * sum(len(q[0]) for q in by_space.values())))
         for batch in batches:
             names = batch.column(1).dictionary_encode()
             which = names.indices.to_numpy(zero_copy_only=False)
             for at, name in enumerate(names.dictionary.to_pylist()):
-                found = shared.value.get(name)
-                if found is None:
+                numbers, wanted = by_space.get(name, (np.empty(0, np.int64), None))
+                if not len(numbers):
                     continue
                 mine = batch.filter(pa.array(which == at))
                 keys = mine.column(0).to_numpy()
                 values = mine.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(keys), dimension).astype(np.float64)
                 values /= np.linalg.norm(values, axis=1, keepdims=True)
-                scores = found[1] @ values.T
-                scores[found[0][:, None] == keys] = -np.inf
-                # all that ties with the k-th best is passed on, so that ties are settled by key in the end
-                cut = np.partition(scores, -min(k, len(keys)), axis=1)[:, -min(k, len(keys))] if len(keys) else np.empty(len(scores))
-                q, r = np.nonzero((scores >= cut[:, None] - 1e-12) & np.isfinite(scores))
-                yield pa.RecordBatch.from_arrays([pa.array(found[0][q]), pa.array(keys[r]), pa.array(scores[q, r])], names=["query_no", "neighbour_no", "score"])
+                step = max(1, cells // len(numbers))
+                for lo in range(0, len(keys), step):
+                    part = keys[lo : lo + step]
+                    scores = wanted @ values[lo : lo + step].T
+                    scores[numbers[:, None] == part] = -np.inf
+                    # what ties with the k-th best stays, so that ties are settled by key in the end
+                    cut = np.partition(scores, -min(k, len(part)), axis=1)[:, -min(k, len(part))]
+                    q, r = np.nonzero((scores >= cut[:, None] - 1e-9) & np.isfinite(scores))
+                    best.add(numbers[q], part[r], scores[q, r])
+        if best.pool:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best.kept()], names=["query_no", "neighbour_no", "score"])
+
+    return run
+
+
+def top_k_many(rows: DataFrame, vector: str, key: str, space: Column, queries: DataFrame, dimension: int, k: int, block: int = QUERY_BLOCK, cells: int = SCORE_CELLS) -> DataFrame:
+    """(query_no, rank, neighbour_no, score): exact search of many queries (query_no, space, vector) against all rows.
 
+    The queries are a stated set. They travel with the tasks in blocks of about ``block``, by a hash of their number, each
+    of which scans the rows once. A task holds ``cells`` scores at a time and passes on ``k`` rows per query; the best of
+    those are taken. A row is no neighbour of itself.
+    """
+    context = rows.sparkSession.sparkContext
+    stated = queries.select("query_no", "space", "vector")
+    blocks = max(1, -(-stated.count() // block))
     chosen = rows.select(F.col(key).cast("long").alias("key"), space.alias("space"), F.col(vector).cast("array<float>").alias("vector"))
-    local = chosen.where(F.col("space").isNotNull() & usable(F.col("vector"), dimension)).mapInArrow(run, "query_no long, neighbour_no long, score double")
+    usable_rows = chosen.where(F.col("space").isNotNull() & usable(F.col("vector"), dimension))
+    parts = []
+    for number in range(blocks):
+        own = stated if blocks == 1 else stated.where(F.pmod(F.xxhash64("query_no"), F.lit(blocks)) == number)
+        by_space: dict[str, list] = {}
+        for query in own.collect():  # one block
+            by_space.setdefault(query.space, []).append(query)
+        vectors = {name: np.array([q.vector for q in held], np.float64) for name, held in by_space.items()}
+        shared = context.broadcast({name: (np.array([q.query_no for q in held], np.int64), vectors[name] / np.linalg.norm(vectors[name], axis=1, keepdims=True)) for name, held in by_space.items()})
+
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            return _nearest(shared.value, dimension, k, cells)(batches)
+
+        parts.append(usable_rows.mapInArrow(run, "query_no long, neighbour_no long, score double"))
     best = W.partitionBy("query_no").orderBy(F.desc(F.round("score", 9)), "neighbour_no")
-    return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_no", "rank", "neighbour_no", "score")
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_no", "rank", "neighbour_no", "score")
 
 
 def first_of(rows: DataFrame, identity: list[str], *order: Column) -> DataFrame:
@@ -126,7 +168,9 @@ def web_dedupe(hits: DataFrame, site: Column, video: Column, start: Column, lane
 
 def with_lexical_boost(hits: DataFrame, query: Column, name: str, extension: Column, score: str) -> DataFrame:
     """Scores lifted by the file name and format that the query names."""
-    return hits.withColumn("boost", lexical_boost(query, F.col(name), extension)).withColumn(score, boosted(F.col(score), F.col("boost")))
+    named = hits.withColumns({"_wanted": searchable_name(query), "_own": searchable_name(F.col(name))})
+    lifted = named.withColumn("boost", lexical_boost(query, F.col("_wanted"), F.col("_own"), extension)).drop("_wanted", "_own")
+    return lifted.withColumn(score, boosted(F.col(score), F.col("boost")))
 
 
 def reranked(hits: DataFrame, position: str, relevance: DataFrame, candidates: int = 20) -> DataFrame:

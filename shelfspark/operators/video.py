@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 def video_list(segments: DataFrame) -> DataFrame:
-    """One row per site and video over tagged segments (site, video, lane, order_no, segment_index, end_seconds, indexed_ms, title).
+    """One row per site and video over tagged segments (site, video, lane, order_no, segment_index, end_seconds, taken_ms, title).
 
     Counts per lane, distinct segments, longest end, last time; the title is that of the first row, visual rows first.
     """
@@ -23,7 +23,7 @@ def video_list(segments: DataFrame) -> DataFrame:
             F.count_distinct(F.when(F.col("lane") == "visual", index)).alias("visual_segments"),
             F.max(index).alias("last_segment"),
             F.max(F.when(~F.isnan("end_seconds"), F.col("end_seconds"))).alias("duration"),
-            F.max("indexed_ms").alias("indexed_ms"),
+            F.max("taken_ms").alias("taken_ms"),
             first.alias("title"),
         )
     )

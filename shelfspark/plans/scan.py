@@ -18,10 +18,10 @@ from shelfspark.session import as_table
 
 @dataclass
 class ScanResult:
-    """Counters of one scan. What was pending is indexed, incomplete or remaining; incomplete files had no text, or a chunk without a vector."""
+    """Counters of one scan. What was pending is taken_in, incomplete or remaining; incomplete files had no text, or a chunk without a vector."""
 
     discovered: int
-    indexed: int
+    taken_in: int
     skipped: int
     removed: int
     remaining: int
@@ -100,5 +100,5 @@ def scan(store: VectorStore, index: str, space: str, root: str, files: DataFrame
     # last: what was cut off before this is pending again
     left = states.where("state = 'vanished'").select("root", "path").unionByName(read.select("root", "path"))
     store.replace_files(index, space, every.join(left, ["root", "path"], "left_anti").unionByName(read))
-    indexed = read.where("has_text and chunks = vectors").count()
-    return ScanResult(discovered, indexed, skipped, removed.select("path").distinct().count(), remaining, vectors, begun - indexed)
+    taken_in = read.where("has_text and chunks = vectors").count()
+    return ScanResult(discovered, taken_in, skipped, removed.select("path").distinct().count(), remaining, vectors, begun - taken_in)

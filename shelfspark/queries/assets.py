@@ -38,18 +38,18 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.last_versions(seen, ["root", "path"], F.desc("written")).select("root", "path", "kind", "fingerprint", "file_size")
 
 
-def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _held_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir).where("batch_no <= 10")
 
 
 def j1_scan_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that a scan has to take in, may skip, or has to remove from the index."""
-    return library.scan_states(_files(spark, sf_dir), _indexed(spark, sf_dir))
+    return library.scan_states(_files(spark, sf_dir), _held_rows(spark, sf_dir))
 
 
 def j2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file as cached, pending, stale or missing."""
-    return library.coverage(_files(spark, sf_dir), _indexed(spark, sf_dir))
+    return library.coverage(_files(spark, sf_dir), _held_rows(spark, sf_dir))
 
 
 def a3_coverage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,12 +59,12 @@ def a3_coverage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def k9_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that are gone with the number of their rows."""
-    return library.missing_by_file(_indexed(spark, sf_dir), _files(spark, sf_dir))
+    return library.missing_by_file(_held_rows(spark, sf_dir), _files(spark, sf_dir))
 
 
 def w7_missing_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows shown and rows hidden per kind because their file is gone."""
-    rows = _indexed(spark, sf_dir)
+    rows = _held_rows(spark, sf_dir)
     gone = library.missing_rows(rows, _files(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("hidden"))
     return rows.groupBy("kind").agg(F.count("*").alias("of")).join(gone, "kind", "left").select("kind", (F.col("of") - F.coalesce("hidden", F.lit(0))).alias("shown"), F.coalesce("hidden", F.lit(0)).alias("hidden"))
 
@@ -97,7 +97,7 @@ def j10_overlapping_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j14_stale_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of index rows whose file was written again without them."""
     key = lambda rows: rows.select("path", F.sha2(F.concat_ws(":", "path", "fingerprint"), 256).alias("key")).distinct()
-    return library.stale_keys(key(_indexed(spark, sf_dir)), key(_rows(spark, sf_dir).where("batch_no > 10")))
+    return library.stale_keys(key(_held_rows(spark, sf_dir)), key(_rows(spark, sf_dir).where("batch_no > 10")))
 
 
 def t8_scan_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +165,7 @@ def f26_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def u4_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of the index that the scan did not see, per root."""
-    gone = _indexed(spark, sf_dir).select("root", "path").exceptAll(_indexed(spark, sf_dir).select("root", "path").join(_files(spark, sf_dir), ["root", "path"], "left_semi")).distinct()
+    gone = _held_rows(spark, sf_dir).select("root", "path").exceptAll(_held_rows(spark, sf_dir).select("root", "path").join(_files(spark, sf_dir), ["root", "path"], "left_semi")).distinct()
     return gone.groupBy("root").agg(F.count("*").alias("gone"))
 
 
@@ -206,16 +206,16 @@ _ROWS = f"""with rows as (
   from asset_hits where asset_path is not null
 ), files as (
   select root, path, kind, fingerprint, file_size from rows where batch_no > 10 qualify row_number() over (partition by root, path order by written desc) = 1
-), indexed as (select * from rows where batch_no <= 10)
+), held_rows as (select * from rows where batch_no <= 10)
 """
 _COVERAGE = _ROWS + """, newest as (
-  select root, path, fingerprint, current from indexed qualify row_number() over (partition by root, path order by written desc) = 1
+  select root, path, fingerprint, current from held_rows qualify row_number() over (partition by root, path order by written desc) = 1
 ), coverage as (
   select coalesce(f.root, n.root) as root, f.kind as kind, coalesce(f.path, n.path) as path, case when f.path is null then 'missing' when n.path is null then 'pending'
     when n.fingerprint = f.fingerprint and n.current then 'cached' else 'stale' end as state
   from files f full join newest n on f.root = n.root and f.path = n.path)
 """
-_STATES = _ROWS + """, known as (select root, path, list(distinct fingerprint) as fps, bool_and(current) as ok from indexed group by 1, 2
+_STATES = _ROWS + """, known as (select root, path, list(distinct fingerprint) as fps, bool_and(current) as ok from held_rows group by 1, 2
 ), states as (
   select coalesce(f.root, k.root) as root, coalesce(f.path, k.path) as path, case when f.path is null then 'vanished'
     when k.path is null or not k.ok or not list_contains(k.fps, f.fingerprint) then 'pending' else 'skipped' end as state
@@ -231,10 +231,10 @@ ORACLES = {
     + """select root, kind, count(*) filter (where state = 'cached') as cached, count(*) filter (where state = 'pending') as pending,
   count(*) filter (where state = 'stale') as stale, count(*) filter (where state = 'missing') as missing, cast(grouping(root, kind) as integer) as level
 from (select coalesce(root, '') as root, coalesce(kind, '') as kind, state from coverage) group by rollup (root, kind)""",
-    "k9_prune": _ROWS + "select path, count(*) as rows from indexed where path not in (select path from files) group by 1",
+    "k9_prune": _ROWS + "select path, count(*) as rows from held_rows where path not in (select path from files) group by 1",
     "w7_missing_filter": _ROWS
     + """select kind, count(*) filter (where path in (select path from files)) as shown, count(*) filter (where path not in (select path from files)) as hidden
-from indexed group by 1""",
+from held_rows group by 1""",
     "j3_sidecars": f"""with files as (select asset_path as path from asset_hits where asset_path is not null union select asset_path from document_chunks where asset_path is not null
 ), keyed as (select path, {_STEM.format(p="path")} as stem, {_FOLDER.format(p="path")} as folder, string_split({_FOLDER.format(p="path")}, '/') as parts, {_EXT.format(p="path")} as ext from files
 ), pairs as (
@@ -249,7 +249,7 @@ select path, (select max_by(library_root, length(library_root)) from library_roo
     "j10_overlapping_roots": f"""with roots as (select library_root as root from library_roots union select {_FOLDER.format(p="asset_path")} from asset_hits where asset_path is not null)
 select b.root as outer_root, count(*) as inner_roots from roots a join roots b on starts_with(a.root, b.root || '/') group by 1""",
     "j14_stale_keys": _ROWS
-    + """, old as (select distinct path, sha256(path || ':' || fingerprint) as key from indexed
+    + """, old as (select distinct path, sha256(path || ':' || fingerprint) as key from held_rows
 ), fresh as (select distinct path, sha256(path || ':' || fingerprint) as key from rows where batch_no > 10)
 select path, key from old where path in (select path from fresh) and key not in (select key from fresh)""",
     "t8_scan_budget": _STATES + "select distinct path from states where state = 'pending' order by path limit 400",
@@ -281,7 +281,7 @@ from asset_hits where asset_path is not null""",
     "f26_sizes": _ROWS + """select root, kind, cast(sum(file_size) as bigint) as bytes, case when sum(file_size) >= 1073741824 then round(sum(file_size) / 1073741824, 1)::double::varchar || ' GB'
   when sum(file_size) >= 1048576 then round(sum(file_size) / 1048576, 1)::double::varchar || ' MB' when sum(file_size) >= 1024 then round(sum(file_size) / 1024, 1)::double::varchar || ' KB'
   else sum(file_size)::bigint::varchar || ' B' end as readable from rows group by 1, 2 having sum(file_size) is not null""",
-    "u4_set_difference": _ROWS + """select root, count(*) as gone from (select distinct root, path from indexed except select root, path from files) group by 1""",
+    "u4_set_difference": _ROWS + """select root, count(*) as gone from (select distinct root, path from held_rows except select root, path from files) group by 1""",
     "pr1_hits": f"""select hit_no, coalesce(nullif(hit_key, ''), concat_ws(':', asset_path, segment_index::varchar)) as id,
   coalesce(nullif(asset_name, ''), list_extract(string_split(asset_path, '/'), -1), '') as name,
   coalesce(nullif(file_kind, ''), nullif({_KIND.format(e=_PATH_EXT, o="''")}, ''), 'document') as kind,

@@ -22,7 +22,7 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("segment_no").alias("order_no"),
         "segment_index",
         F.when(~F.isnan("end_seconds"), F.col("end_seconds")).alias("end_seconds"),
-        F.unix_millis(F.col("planned_at").cast("timestamp")).alias("indexed_ms"),
+        F.unix_millis(F.col("planned_at").cast("timestamp")).alias("taken_ms"),
         F.col("library_root").alias("title"),
     )
     stored = table(spark, sf_dir, "vector_records").where("metadata.video_id <> ''").select(
@@ -32,7 +32,7 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("record_no").alias("order_no"),
         F.lit(None).cast("int").alias("segment_index"),
         F.lit(None).cast("double").alias("end_seconds"),
-        F.col("metadata.stored_at_ms").alias("indexed_ms"),
+        F.col("metadata.stored_at_ms").alias("taken_ms"),
         F.coalesce("metadata.title", F.lit("")).alias("title"),
     )
     return planned.unionByName(stored)
@@ -54,23 +54,23 @@ def a5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a1_video_list(spark, sf_dir).agg(F.count("*").alias("videos"), F.sum("visual_count").alias("visual"), F.sum("transcript_count").alias("transcript"), F.max("duration").alias("longest"))
 
 
-def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _held_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chunk_segments").select(F.col("video_key").alias("video"), "segment_index", "start_seconds", "end_seconds", "effective_chunk_seconds", "planned_at")
 
 
 def j9_missing_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments that videos lack before their last one."""
-    return video.missing_segments(_indexed(spark, sf_dir))
+    return video.missing_segments(_held_rows(spark, sf_dir))
 
 
 def a20_resume_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks in all and the next block to do, per video."""
-    return video.resume_points(_indexed(spark, sf_dir), F.col("effective_chunk_seconds"))
+    return video.resume_points(_held_rows(spark, sf_dir), F.col("effective_chunk_seconds"))
 
 
 def a23_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks per video and state: whole, partial (shorter than planned), broken (no usable interval) or empty."""
-    rows = _indexed(spark, sf_dir).where("segment_index >= 0")
+    rows = _held_rows(spark, sf_dir).where("segment_index >= 0")
     length = whole_ms(F.col("end_seconds")) - whole_ms(F.col("start_seconds"))
     planned = whole_ms(F.col("effective_chunk_seconds"))
     rank = F.when(length >= planned, 0).when(length > 0, 1).otherwise(2)
@@ -91,7 +91,7 @@ def j6_library_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("lane") == "visual").cast("long").alias("visual"),
         (F.col("lane") == "transcript").cast("long").alias("transcript"),
         F.col("end_seconds").alias("duration"),
-        F.col("indexed_ms").alias("last_ms"),
+        F.col("taken_ms").alias("last_ms"),
     )
     return video.merged_summary(parts, ["title", "last_site"], ["visual", "transcript"], ["duration", "last_ms"])
 
@@ -99,14 +99,14 @@ def j6_library_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j7_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last activity of each video over planned and stored segments."""
     rows = _segments(spark, sf_dir)
-    last = rows.where("lane = 'transcript'").groupBy("video").agg(F.max("indexed_ms").alias("stored_ms"))
-    planned = rows.where("lane = 'visual'").groupBy("video").agg(F.max("indexed_ms").alias("planned_ms"))
+    last = rows.where("lane = 'transcript'").groupBy("video").agg(F.max("taken_ms").alias("stored_ms"))
+    planned = rows.where("lane = 'visual'").groupBy("video").agg(F.max("taken_ms").alias("planned_ms"))
     return planned.join(last, "video", "left").select("video", F.greatest("planned_ms", "stored_ms").alias("last_ms"))
 
 
 def a24_recent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Videos per site that were planned in the last 24 hours of the table."""
-    rows = _segments(spark, sf_dir).where("lane = 'visual'").groupBy("site", "video").agg(F.max("indexed_ms").alias("last_ms"))
+    rows = _segments(spark, sf_dir).where("lane = 'visual'").groupBy("site", "video").agg(F.max("taken_ms").alias("last_ms"))
     newest = table(spark, sf_dir, "chunk_segments").agg(F.max(F.unix_millis(F.col("planned_at").cast("timestamp")))).first()[0]  # one number
     return rows.where(F.col("last_ms") >= F.lit(newest) - 86400000).groupBy("site").agg(F.count("*").alias("videos"))
 
@@ -188,7 +188,7 @@ def f23_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f8_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of the embedding spaces of the samples' models."""
     rows = table(spark, sf_dir, "ingest_samples").groupBy("embedding_model", "embedding_dimension").agg(F.count("*").alias("samples"))
-    return rows.select("samples", space_slug(F.col("embedding_model"), F.col("embedding_dimension"), F.lit("plain")).alias("space"))
+    return rows.select("samples", space_slug(F.col("embedding_model"), F.col("embedding_dimension"), F.lit("plain"), "v1").alias("space"))
 
 
 QUERIES = {
@@ -203,14 +203,14 @@ QUERIES = {
 _BLANK = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\x{0B}]"
 _SEGMENTS = """with segments as (
   select string_split(video_key, ':')[1] as site, regexp_extract(video_key, '^[^:]*:(.*)$', 1) as video, 'visual' as lane, segment_no as order_no, segment_index,
-    case when not isnan(end_seconds) then end_seconds end as end_seconds, epoch_us(planned_at) // 1000 as indexed_ms, library_root as title from chunk_segments
+    case when not isnan(end_seconds) then end_seconds end as end_seconds, epoch_us(planned_at) // 1000 as taken_ms, library_root as title from chunk_segments
   union all
   select metadata.source_site, metadata.video_id, 'transcript', record_no, null, null, metadata.stored_at_ms, coalesce(metadata.title, '') from vector_records where metadata.video_id <> ''
 )
 """
 _LIST = _SEGMENTS + """, videos as (select site, video, count(*) filter (where lane = 'visual') as visual_count, count(*) filter (where lane = 'transcript') as transcript_count,
   count(distinct case when lane = 'visual' and segment_index >= 0 then segment_index end) as visual_segments, max(case when segment_index >= 0 then segment_index end) as last_segment,
-  max(end_seconds) as duration, max(indexed_ms) as indexed_ms, arg_min(title, (case when lane <> 'visual' then 1 else 0 end, order_no)) as title
+  max(end_seconds) as duration, max(taken_ms) as taken_ms, arg_min(title, (case when lane <> 'visual' then 1 else 0 end, order_no)) as title
   from segments where video <> '' group by site, video)
 """
 _MS = "cast(round(case when not isnan({c}) and abs({c}) <= 9e12 then {c} end * 1000) as bigint)"
@@ -235,11 +235,11 @@ select video, case rank when 0 then 'whole' when 1 then 'partial' when 2 then 'b
 from blocks left join best using (video, block) group by 1, 2""",
     "j6_library_summary": _SEGMENTS + """select video, arg_max(nullif(title, ''), (case when lane = 'visual' then 1 else 2 end, order_no)) filter (where title <> '') as title,
   arg_max(nullif(site, ''), (case when lane = 'visual' then 1 else 2 end, order_no)) filter (where site <> '') as last_site,
-  count(*) filter (where lane = 'visual') as visual, count(*) filter (where lane = 'transcript') as transcript, max(end_seconds) as duration, max(indexed_ms) as last_ms
+  count(*) filter (where lane = 'visual') as visual, count(*) filter (where lane = 'transcript') as transcript, max(end_seconds) as duration, max(taken_ms) as last_ms
 from segments where video <> '' group by video""",
-    "j7_activity": _SEGMENTS + """select video, greatest(max(indexed_ms) filter (where lane = 'visual'), max(indexed_ms) filter (where lane = 'transcript')) as last_ms
+    "j7_activity": _SEGMENTS + """select video, greatest(max(taken_ms) filter (where lane = 'visual'), max(taken_ms) filter (where lane = 'transcript')) as last_ms
 from segments group by video having count(*) filter (where lane = 'visual') > 0""",
-    "a24_recent_history": _SEGMENTS + """, videos as (select site, video, max(indexed_ms) as last_ms from segments where lane = 'visual' group by 1, 2)
+    "a24_recent_history": _SEGMENTS + """, videos as (select site, video, max(taken_ms) as last_ms from segments where lane = 'visual' group by 1, 2)
 select site, count(*) as videos from videos where last_ms >= (select max(last_ms) from videos) - 86400000 group by site""",
     "x2_media_segments": """with ticks as (select user_id::varchar as video, event_id as arrival, epoch_us(ts) / 1e6 as position from events
 ), steps as (select *, floor(position / 864000) as segment_index, position - lag(position) over w as step, lag(floor(position / 864000)) over w as before
@@ -267,6 +267,6 @@ select asset_path, chunk as chunk_seconds, chunk > 30 as stretched, cast(ceil(d
 select segment_no, case when s >= 3600 then printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) else printf('%d:%02d', s // 60 % 60, s % 60) end as clock from t""",
     "f23_hamming": """with h as (select record_no, cast(('0x' || substr(md5(vec_key), 1, 16)) as ubigint) as h from vector_records)
 select a.record_no, cast(coalesce(bit_count(xor(a.h, b.h)), 64) as integer) as bits from h a join h b on b.record_no = a.record_no - 1""",
-    "f8_spaces": r"""select count(*) as samples, regexp_replace(regexp_replace(lower(embedding_model) || '-' || embedding_dimension::varchar || '-plain-indexed-v1', '[^a-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') as space
+    "f8_spaces": r"""select count(*) as samples, regexp_replace(regexp_replace(lower(embedding_model) || '-' || embedding_dimension::varchar || '-plain-held_rows-v1', '[^a-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') as space
 from ingest_samples group by embedding_model, embedding_dimension""",
 }

@@ -80,7 +80,7 @@ def a16_timing_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a17_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indexed, failed and stored per workload."""
+    """Files taken in, failed and stored per workload."""
     rows = _samples(spark, sf_dir)
     return rows.groupBy("workload_key").agg(*[F.sum(f"done_{k}").alias(f"done_{k}") for k in perf.KINDS], F.sum("failed").alias("failed"), F.sum("vectors").alias("vectors"))
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from shelfspark.operators.search import with_lexical_boost
 from shelfspark.functions import keys, media, paths, text, vectors
 from shelfspark.functions.plugins import HashEmbedder, UnitEmbedder, embedding, read_documents, reranked_by
 
@@ -56,19 +57,20 @@ def test_storyboard_and_backoff(spark):
 def test_text_forms(spark):
     assert one(spark, text.normalized_text(F.lit("  a\r\nb \t c \n\n\n\n\nd\x00e　"))) == "a\nb   c\n\n\nd e"
     assert one(spark, text.searchable_name(F.lit("Rough_Cut (1).MP4"))) == "rough cut 1"
-    assert one(spark, text.searchable_name(F.lit("ＡＢ c.mov"), True)) == "ab c"
-    assert one(spark, text.space_slug(F.lit("wemm-embedding-9b"), F.lit(4096), text.input_style(F.lit("wemm-embedding-9b"), F.lit("auto")))) == "wemm-embedding-9b-4096-wemm-indexed-v1"
-    assert len(one(spark, text.messages(F.lit("wemm"), F.lit("i"), F.lit("t")))) == 1 and len(one(spark, text.messages(F.lit("qwen"), F.lit("i"), F.lit("t")))) == 2
+    assert one(spark, text.searchable_name(F.lit("ＡＢ c.mov"))) == "ab c"
+    assert one(spark, text.space_slug(F.lit("Elm Embedding-9b"), F.lit(4096), text.input_style(F.lit("elm-embedding-9b"), F.lit("auto"), "elm", "oak"), "v1")) == "elm-embedding-9b-4096-elm-v1"
+    assert len(one(spark, text.messages(F.lit("elm"), F.lit("i"), F.lit("t"), "elm"))) == 1 and len(one(spark, text.messages(F.lit("oak"), F.lit("i"), F.lit("t"), "elm"))) == 2
     assert one(spark, text.preview(F.lit(" a \n b " * 200))).startswith("a b a b")
 
 
 def test_lexical_boost(spark):
-    boost = lambda q, n, e: one(spark, text.lexical_boost(F.lit(q), F.lit(n), F.lit(e)))
+    boost = lambda q, n, e: with_lexical_boost(spark.createDataFrame([(n, 0.0)], "name string, score double"), F.lit(q), "name", F.lit(e), "score").first().boost
     assert boost("the rough cut please", "Rough-Cut.mp4", "mp4") == pytest.approx(0.18)
     assert boost("monthly budget csv", "report.csv", "csv") == pytest.approx(0.14)
     assert boost("docx文件", "report.docx", "docx") == pytest.approx(0.12)
     assert boost("csvs", "report.csv", "csv") == 0
     assert boost("final report draft", "report two.txt", "txt") == pytest.approx(0.08)
+    assert boost("the rough cut please", "ＲＯＵＧＨ－ｃｕｔ．mp4", "mp4") == pytest.approx(0.18)
     assert boost("", "a.csv", "csv") == 0 and boost("csv report", "report.csv", "csv") == pytest.approx(0.22)
 
 

@@ -51,11 +51,11 @@ def test_stale_keys(spark):
 
 def test_video_list_and_holes(spark):
     rows = [("s", "v", "visual", 1, 0, 10.0, 100, "t"), ("s", "v", "visual", 2, 2, 25.0, 300, "u"), ("s", "v", "transcript", 0, 1, None, 200, "w"), ("s", "", "visual", 3, 0, 1.0, 1, ""), ("s", "v2", "transcript", 9, -1, float("nan"), None, None)]
-    df = spark.createDataFrame(rows, "site string, video string, lane string, order_no long, segment_index int, end_seconds double, indexed_ms long, title string")
+    df = spark.createDataFrame(rows, "site string, video string, lane string, order_no long, segment_index int, end_seconds double, taken_ms long, title string")
     got = {r.video: r for r in video.video_list(df).collect()}
     assert set(got) == {"v", "v2"}
     v = got["v"]
-    assert (v.visual_count, v.transcript_count, v.visual_segments, v.duration, v.indexed_ms, v.title) == (2, 1, 2, 25.0, 300, "t")
+    assert (v.visual_count, v.transcript_count, v.visual_segments, v.duration, v.taken_ms, v.title) == (2, 1, 2, 25.0, 300, "t")
     assert [tuple(r) for r in video.missing_segments(df.where("lane = 'visual'")).collect()] == [("v", 1)]
     points = {r.video: (r.total_blocks, r.resume_at) for r in video.resume_points(df, F.lit(10.0)).collect()}
     assert points["v"] == (3, -1) and points["v2"] == (0, -1)

@@ -14,11 +14,11 @@ def test_scan(spark):
     run = lambda f, t, **k: scan(store, "i", "s", "/r", disk(f), texts(t), HashEmbedder(8), **k)
     files = [("/r", "/r/a.txt", "1:1"), ("/r", "/r/b.txt", "1:1"), ("/r", "/r/c.txt", "1:1"), ("/q", "/q/x.txt", "1:1")]
     bodies = [("/r/a.txt", "some text"), ("/r/b.txt", long), ("/r/c.txt", " ")]
-    assert run(files, bodies, dry_run=True).indexed == 3 and store.read("i", "s").count() == 0
+    assert run(files, bodies, dry_run=True).taken_in == 3 and store.read("i", "s").count() == 0
     first = run(files, bodies, most_files=2)
-    assert (first.discovered, first.indexed, first.remaining) == (3, 2, 1) and first.vectors == store.read("i", "s").count() > 3
+    assert (first.discovered, first.taken_in, first.remaining) == (3, 2, 1) and first.vectors == store.read("i", "s").count() > 3
     again = run(files, bodies)
-    assert (again.skipped, again.indexed, again.vectors) == (2, 1, 0)
+    assert (again.skipped, again.taken_in, again.vectors) == (2, 1, 0)
     changed = run([("/r", "/r/b.txt", "2:2")], [("/r/b.txt", "now short")])
     assert (changed.removed, changed.vectors) == (1, 1)
     assert [r.metadata["text_preview"] for r in store.read("i", "s").collect()] == ["now short"]
@@ -44,21 +44,21 @@ def test_scan_passes_files_without_chunks(spark):
     files = [(p, "1:1") for p in ("a-blank", "b-null", "c-video", "d-odd", "e", "f")]
     bodies = [("a-blank", " "), ("b-null", None), ("d-odd", "odd text"), ("e", "some text"), ("f", "other text")]
     first = run(files, bodies, most_files=4)
-    assert (first.indexed, first.incomplete, first.remaining, first.vectors) == (1, 3, 2, 0) and stored() == []
+    assert (first.taken_in, first.incomplete, first.remaining, first.vectors) == (1, 3, 2, 0) and stored() == []
     second = run(files, bodies, most_files=2)
-    assert (second.skipped, second.indexed, second.remaining, stored()) == (3, 2, 1, ["e", "f"])
+    assert (second.skipped, second.taken_in, second.remaining, stored()) == (3, 2, 1, ["e", "f"])
     third = run(files, bodies)
-    assert (third.skipped, third.indexed, third.incomplete) == (5, 0, 1)
+    assert (third.skipped, third.taken_in, third.incomplete) == (5, 0, 1)
     # a text that comes later and an embedder that has a vector now: nothing is passed by for good
     late = run(files, [*bodies, ("c-video", "captions")], HashEmbedder(8))
-    assert (late.skipped, late.indexed, late.incomplete) == (4, 2, 0) and stored() == ["c-video", "d-odd", "e", "f"]
+    assert (late.skipped, late.taken_in, late.incomplete) == (4, 2, 0) and stored() == ["c-video", "d-odd", "e", "f"]
     # rewritten to blank, or to something without a text: the old chunks go
     blank = run([*files[:4], ("e", "2:2"), ("f", "2:2")], [*bodies[:3], ("c-video", "captions"), ("e", "\n"), ("f", None)])
-    assert (blank.skipped, blank.indexed, blank.incomplete, blank.removed) == (4, 1, 1, 0) and stored() == ["c-video", "d-odd"]
+    assert (blank.skipped, blank.taken_in, blank.incomplete, blank.removed) == (4, 1, 1, 0) and stored() == ["c-video", "d-odd"]
     # rows that were deleted from the store are pending, and a recorded file that is gone is forgotten
     store.purge("i", "s", F.col("metadata.path") == "/r/d-odd")
     back = run(files[3:4], bodies, HashEmbedder(8))
-    assert (back.indexed, back.removed) == (1, 1) and stored() == ["d-odd"] and store.files("i", "s").count() == 1
+    assert (back.taken_in, back.removed) == (1, 1) and stored() == ["d-odd"] and store.files("i", "s").count() == 1
 
 
 def test_profile():

@@ -50,6 +50,10 @@ def test_many_queries_agree_with_one(spark):
         space, vector = [(r.space, r.vector) for r in queries.collect() if r.query_no == q][0]
         want = [r.id for r in search.top_k(rows.where(f"space = '{space}' and id <> {q}"), "vector", vector, "id", 4).collect()]
         assert [r.neighbour_no for r in sorted((r for r in got if r.query_no == q), key=lambda r: r["rank"])] == want
+    many = rows.selectExpr("id as query_no", "space", "vector")
+    whole = sorted(search.top_k_many(rows, "vector", "id", F.col("space"), many, 3, 4).select("query_no", "rank", "neighbour_no").collect())
+    blocks = search.top_k_many(rows, "vector", "id", F.col("space"), many, 3, 4, block=40, cells=64).select("query_no", "rank", "neighbour_no")
+    assert sorted(blocks.collect()) == whole and len(whole) == 4 * rows.where("id % 5 > 0 or sin(id) <> 0 or cos(id * 7) <> 0").count()
 
 
 def test_rerank_order(spark):
