@@ -1,8 +1,9 @@
 """Most similar vectors for every vector (problem 5): inverted lists, product-quantised residuals, exact reranking.
 
 Vectors are usable if they have ``DIMENSIONS`` finite values that are not all zero; they are scaled to length 1. Each
-embedding space has a model of its own, trained on at most ``SAMPLE`` of its rows: coarse centroids (about n ** 0.4) and,
-for the residuals, one codebook of at most 256 entries for each of ``PARTS`` parts. All rows are indexed.
+embedding space has a model of its own: coarse centroids (about n ** 0.4) and, for the residuals, one codebook of at most
+256 entries for each of ``PARTS`` parts. It is trained on a sample of ``SAMPLE`` of its rows, or of ``PER_LIST`` for each
+list where that is more, and of at most ``MOST_SAMPLE``. All rows are in the index.
 
 * A row lies in the list of its nearest centroid with an 8-byte code of its residual and the length of the code's error.
 * A query visits lists, reads distances from a table of its own (asymmetric: the query is not quantised), and what the
@@ -10,8 +11,11 @@ for the residuals, one codebook of at most 256 entries for each of ``PARTS`` par
 
 ``pairs_within`` finds all pairs of at least a given similarity, with nothing lost: rows x and y no further apart than d
 lie in one list, or one of them is within d/2 of the plane between both centroids and visits the other's list; and a code
-rules a pair out only if its distance less its error is above d. ``most_similar`` visits the nearest lists only and has a
-recall below 1 (measured in the tests).
+rules a pair out only if its distance less its error is above d. ``most_similar`` visits the ``VISITED`` nearest lists,
+however many there are, so a query is compared with n ** 0.6 rows, and has a recall below 1 (measured in the tests).
+
+Models travel with the tasks: 256 bytes for each list and codebook entry, 64 KB to 1.1 MB for a space of up to a billion
+rows. Where there are more than ``SPACES_AT_ONCE`` spaces, they are searched in blocks of about so many.
 
 Lists that the sample shows to be large are split by a hash of the row number, and what visits them goes to each part, so
 a hot list spreads over many tasks; a task holds the members of one part and streams the visitors. Exact copies are
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,11 +42,12 @@ from shelfspark.session import as_table
 
 DIMENSIONS = 64
 PARTS = 8
-SAMPLE = 20_000
+SAMPLE, PER_LIST, MOST_SAMPLE = 20_000, 40, 200_000
 ROUNDS = 8
 PART_ROWS = 8192
-MAX_SPACES = 2_000
-RERANK = 96
+SPACES_AT_ONCE = 200
+VISITED = 8
+RERANK = 200
 CELLS = 2_000_000
 
 _POSTINGS = "space string, list int, part int, visitor boolean, record_no long, vector binary, code binary, error float"
@@ -63,18 +69,26 @@ def _means(points: np.ndarray, count: int, seed: int) -> np.ndarray:
     return means
 
 
+def lists_of(rows: int) -> int:
+    """Lists of a space with so many rows."""
+    return 1 << max(0, round(math.log2(max(1, rows) ** 0.4)))
+
+
 class Model:
     """Centroids, codebooks and the number of parts of each list of one space."""
 
     def __init__(self, centroids: np.ndarray, books: np.ndarray, parts: np.ndarray) -> None:
         self.centroids, self.books, self.parts = centroids, books, parts
         self.squares = (centroids * centroids).sum(1)
-        apart = self.squares[:, None] + self.squares - 2 * centroids @ centroids.T
-        self.apart = np.sqrt(np.maximum(apart, 1e-12))
+
+    def apart(self, own: np.ndarray) -> np.ndarray:
+        """Distances of some centroids to all."""
+        squares = self.squares[own][:, None] + self.squares - 2 * self.centroids[own] @ self.centroids.T
+        return np.sqrt(np.maximum(squares, 1e-12))
 
     @classmethod
     def train(cls, sample: np.ndarray, rows: int, part_rows: int = PART_ROWS) -> Model:
-        lists = 1 << max(0, round(math.log2(max(1, rows) ** 0.4)))
+        lists = lists_of(rows)
         centroids = _means(sample, lists, 1)
         own = np.argmin((centroids * centroids).sum(1) - 2 * sample @ centroids.T, axis=1)
         rest = sample - centroids[own]
@@ -129,23 +143,28 @@ def _unit(batch: pa.RecordBatch, column: int) -> np.ndarray:
     return (values / np.sqrt((values * values).sum(1, keepdims=True))).astype(np.float32)
 
 
-def train(vectors: DataFrame, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> dict[str, Model]:
-    """One model per space. The samples are drawn by a hash of the row number and trained in tasks; only models reach the driver."""
-    counts = {r[0]: r[1] for r in vectors.groupBy("space").count().limit(MAX_SPACES + 1).collect()}
-    if len(counts) > MAX_SPACES:
-        raise ValueError(f"more than {MAX_SPACES} embedding spaces: run them in blocks")
+def space_blocks(vectors: DataFrame, at_once: int = SPACES_AT_ONCE) -> list[DataFrame]:
+    """The vectors in blocks of about so many spaces, by a hash of the space."""
+    blocks = max(1, -(-vectors.select("space").distinct().count() // at_once))
+    return [vectors if blocks == 1 else vectors.where(F.pmod(F.xxhash64("space"), F.lit(blocks)) == k) for k in range(blocks)]
+
+
+def train(vectors: DataFrame, part_rows: int = PART_ROWS) -> dict[str, Model]:
+    """One model per space of a block. The samples are drawn by a hash of the row number and trained in tasks; only models reach the driver."""
+    counts = {r[0]: r[1] for r in vectors.groupBy("space").count().collect()}
     if not counts:
         return {}
+    sizes = {name: min(MOST_SAMPLE, max(SAMPLE, PER_LIST * lists_of(n))) for name, n in counts.items()}
     # a fifth more than wanted is drawn by chance, then cut to the bound in the task
-    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 1.2 * sample / n))])[F.col("space")]
+    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 1.2 * sizes[name] / n))])[F.col("space")]
     drawn = vectors.where(F.pmod(F.xxhash64("record_no"), F.lit(1 << 20)) < share * (1 << 20))
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("record_no").head(sample)
+        name = frame["space"].iloc[0]
+        frame = frame.sort_values("record_no").head(sizes[name])
         values = np.stack(frame["vector"].to_numpy()).astype(np.float64)
         values /= np.abs(values).max(1, keepdims=True)
         values = (values / np.sqrt((values * values).sum(1, keepdims=True))).astype(np.float32)
-        name = frame["space"].iloc[0]
         model = Model.train(values, counts[name], part_rows)
         return pd.DataFrame(
             {"space": [name], "centroids": [model.centroids.tobytes()], "books": [model.books.tobytes()], "entries": [model.books.shape[1]], "parts": [model.parts.tobytes()], "width": [values.shape[1]]}
@@ -302,7 +321,7 @@ def _table_distances(model: Model, at: int, codes: np.ndarray, vectors: np.ndarr
 
 
 def _placed(vectors: DataFrame, models: dict[str, Model], visits: Callable, every_part: bool) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast(models)  # a few hundred KB per space; the number of spaces is checked
+    shared = vectors.sparkSession.sparkContext.broadcast(models)  # of one block of spaces, each of a size that grows with n ** 0.4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _lists(shared.value, visits, every_part)(batches)
@@ -324,15 +343,37 @@ def classes(vectors: DataFrame) -> DataFrame:
     return as_table(marked.join(first, ["space", "h", "g"]).select("first_no", "record_no").distinct(), "classes")
 
 
-def representative_pairs(vectors: DataFrame, least: float, copies: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def class_members(vectors: DataFrame) -> DataFrame:
+    """(record_no, class_no, copies): every usable row with the first row of its class of exact copies and the size of the class."""
+    copies = classes(vectors)
+    sizes = copies.groupBy("first_no").agg(F.count("*").alias("copies"))
+    known = copies.join(sizes, "first_no").select("record_no", F.col("first_no").alias("class_no"), "copies")
+    return vectors.select("record_no").distinct().join(known, "record_no", "left").select("record_no", F.coalesce("class_no", "record_no").alias("class_no"), F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
+def representative_pairs(vectors: DataFrame, least: float, copies: DataFrame, part_rows: int = PART_ROWS, at_once: int = SPACES_AT_ONCE) -> DataFrame:
     """(first_no, second_no, similarity) of the first rows of all classes that are at least ``least`` alike."""
-    models = train(vectors, part_rows=part_rows)
+    later = copies.where("record_no <> first_no").select("record_no").distinct()
+    first = vectors.join(later, "record_no", "left_anti").select("record_no", "space", "vector")
+    return reduce(DataFrame.unionByName, [_pairs_of_block(block, least, part_rows) for block in space_blocks(first, at_once)])
+
+
+def _pairs_of_block(vectors: DataFrame, least: float, part_rows: int) -> DataFrame:
+    models = train(vectors, part_rows)
     reach = math.sqrt(2 - 2 * least)
 
     def visits(model: Model, numbers: np.ndarray, far: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        to_plane = (far - far[np.arange(len(own)), own][:, None]) / (2 * model.apart[own])
-        to_plane[np.arange(len(own)), own] = np.inf
-        return np.nonzero(to_plane <= reach / 2 + 1e-4)
+        rows, lists = [], []
+        step = max(1, CELLS // far.shape[1])
+        for lo in range(0, len(own), step):
+            part = slice(lo, lo + step)
+            mine, at = own[part], np.arange(len(own[part]))
+            to_plane = (far[part] - far[part][at, mine][:, None]) / (2 * model.apart(mine))
+            to_plane[at, mine] = np.inf
+            row, to = np.nonzero(to_plane <= reach / 2 + 1e-4)
+            rows.append(row + lo)
+            lists.append(to)
+        return np.concatenate(rows), np.concatenate(lists)
 
     def compare(model: Model, at: int, members: tuple, numbers: np.ndarray, queries: np.ndarray, own: int | None) -> list[np.ndarray]:
         m_numbers, m_vectors, m_codes, m_error = members
@@ -348,8 +389,7 @@ def representative_pairs(vectors: DataFrame, least: float, copies: DataFrame, pa
         a, b = numbers[q[kept]], m_numbers[m[kept]]
         return [np.minimum(a, b), np.maximum(a, b), similarity[kept]]
 
-    later = copies.where("record_no <> first_no").select("record_no").distinct()
-    placed = _placed(vectors.join(later, "record_no", "left_anti").select("record_no", "space", "vector"), models, visits, True)
+    placed = _placed(vectors, models, visits, True)
     shared = vectors.sparkSession.sparkContext.broadcast(models)
     schema = pa.schema([("first_no", pa.int64()), ("second_no", pa.int64()), ("similarity", pa.float64())])
 
@@ -375,13 +415,17 @@ def pairs_within(vectors: DataFrame, least: float, part_rows: int = PART_ROWS) -
     return wide.unionByName(inside).select(F.least("a", "b").alias("first_no"), F.greatest("a", "b").alias("second_no"))
 
 
-def most_similar(vectors: DataFrame, is_query: Callable[[np.ndarray], np.ndarray], k: int = 10, visited: float = 1 / 12, part_rows: int = PART_ROWS) -> DataFrame:
+def most_similar(vectors: DataFrame, is_query: Callable[[np.ndarray], np.ndarray], k: int = 10, visited: int = VISITED, part_rows: int = PART_ROWS, at_once: int = SPACES_AT_ONCE) -> DataFrame:
     """(record_no, rank, neighbour_no, similarity): the ``k`` most similar rows of the same space for each query row."""
-    models = train(vectors, part_rows=part_rows)
+    return reduce(DataFrame.unionByName, [_nearest_of_block(block, is_query, k, visited, part_rows) for block in space_blocks(vectors, at_once)])
+
+
+def _nearest_of_block(vectors: DataFrame, is_query: Callable[[np.ndarray], np.ndarray], k: int, visited: int, part_rows: int) -> DataFrame:
+    models = train(vectors, part_rows)
 
     def visits(model: Model, numbers: np.ndarray, far: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = np.flatnonzero(is_query(numbers))
-        lists = min(far.shape[1], max(8, math.ceil(far.shape[1] * visited)))
+        lists = min(far.shape[1], visited)
         near = np.argpartition(far[rows], lists - 1, axis=1)[:, :lists] if len(rows) else np.empty((0, lists), np.int64)
         return np.repeat(rows, lists), near.ravel()
 

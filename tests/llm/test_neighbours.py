@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.llm.neighbours import classes, most_similar, pairs_within, representative_pairs, usable
+from shelfspark.llm.neighbours import VISITED, Model, class_members, classes, most_similar, pairs_within, representative_pairs, usable
 
 
 def data(seed=0, rows=3000):
@@ -37,6 +37,31 @@ def test_all_pairs(spark, part_rows):
     assert got == brute(values, 0.95)[1] and len(got) > 300
 
 
+def test_spaces_in_blocks(spark):
+    """More spaces than are searched at once are searched in blocks, with the same result."""
+    values = data(2, 900)
+    rows = [(i, f"s{i // 10 % 7}", v.tolist()) for i, v in enumerate(values)]
+    vectors = usable(spark.createDataFrame(rows, "no long, sp string, v array<float>"), "no", "v", F.col("sp"))
+    copies = classes(vectors)
+    whole, blocks = (sorted(tuple(r)[:2] for r in representative_pairs(vectors, 0.9, copies, at_once=n).collect()) for n in (200, 2))
+    assert whole == blocks and len(whole) > 10
+    near, apart = (sorted(most_similar(vectors, lambda n: n % 50 == 0, 3, at_once=n).select("record_no", "rank", "neighbour_no").collect()) for n in (200, 2))
+    assert near == apart and len(near) == 54
+
+
+def test_recall_at_a_sixteenth_of_the_lists():
+    """The lists of the 8 nearest of 128 centroids hold nine tenths of the neighbours and more."""
+    values = data(3, 40_000)
+    values /= np.linalg.norm(values, axis=1, keepdims=True)
+    model = Model.train(values[::2], 180_000)
+    own = model.distances(values).argmin(1)
+    queries = np.arange(0, 40_000, 200)
+    alike = values[queries] @ values.T
+    alike[np.arange(len(queries)), queries] = -9
+    best = np.argpartition(-alike, 10, axis=1)[:, :10]
+    near = np.argsort(model.distances(values[queries]), axis=1)[:, :VISITED]
+    assert len(model.centroids) == 128 and np.mean([np.isin(own[b], n).mean() for b, n in zip(best, near, strict=True)]) >= 0.9
+
 def test_recall_of_the_most_similar(spark):
     values = data(1)
     found = most_similar(usable(table(spark, values), "no", "v", F.col("sp")), lambda n: n % 50 == 0, 10, part_rows=100).collect()
@@ -54,6 +79,8 @@ def test_groups_of_copies(spark):
     vectors = usable(spark.createDataFrame(rows, "no long, sp string, v array<float>"), "no", "v", F.col("sp"))
     got = {tuple(r) for r in pairs_within(vectors, 0.95).collect()}
     assert got == {(a, b) for a in [*range(30), 100] for b in [*range(30), 100] if a < b}
+    members = {tuple(r) for r in class_members(vectors).collect()}
+    assert members == {(i, 0, 30) for i in range(30)} | {(100, 100, 1), (101, 101, 1), (102, 102, 1)}
     assert [tuple(r)[:2] for r in representative_pairs(vectors, 0.95, classes(vectors)).collect()] == [(0, 100)]
 
 
