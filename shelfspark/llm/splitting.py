@@ -12,7 +12,8 @@ then whole seconds; times are whole milliseconds.
 
 Nulls: null and blank texts give no piece; segments whose start or end is missing, NaN or not after the start give no
 piece. A null ``start_character`` counts as 0. Rows that come twice give their pieces twice. Empty input gives an empty
-result. The table is built over at most ``BLOCK`` positions at a time, so very long items need no more memory.
+result. Strengths and table are made for at most ``BLOCK`` positions at a time, and what is known of the text before a
+block goes on into it, so cuts do not depend on blocks. A task holds one text, one block and ``MOST_CHARACTERS`` of pieces.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ LEAST_SHARE = 0.6
 BLOCK = 1 << 16
 TIME_BLOCK = 1 << 20
 #: Pieces that a task holds before it passes them on.
-MOST_PIECES = 50_000
+MOST_PIECES, MOST_CHARACTERS = 50_000, 1 << 24
 
 PARAGRAPH, LINE, SENTENCE, CLAUSE, SPACE, PLAIN, TORN = 6, 5, 4, 3, 2, 1, 0
 
@@ -102,6 +103,18 @@ def _members(chars: np.ndarray, of: str) -> np.ndarray:
     return np.isin(chars, np.frombuffer(of.encode("utf-32-le"), "<u4"))
 
 
+def read_from(chars: np.ndarray, at: int) -> int:
+    """Where to read from so that the strengths from ``at`` on are those of the whole text: one before the last solid character, however far that is."""
+    end, step = at, 256
+    while end > 0:
+        part = chars[max(0, end - step) : end]
+        if len(solid := np.flatnonzero(~np.isin(part, _BLANK_CODES))):
+            return max(0, end - len(part) + int(solid[-1]) - 1)
+        end -= len(part)
+        step *= 2
+    return 0
+
+
 def text_strengths(chars: np.ndarray, blank: np.ndarray) -> np.ndarray:
     """Strength of the cut before each character of a text; ``blank`` tells the white space."""
     n = len(chars)
@@ -124,7 +137,7 @@ def text_strengths(chars: np.ndarray, blank: np.ndarray) -> np.ndarray:
     out[1:][(_members(chars, _STOPS) | (closes & np.concatenate(([False], _members(chars[:-1], _STOPS)))))[:-1]] = SENTENCE
     lines = np.cumsum(newline)
     out[1:][newline[:-1]] = LINE
-    seen = lines[:-1] - np.where(solid_before[1:] >= 0, lines[solid_before[1:]], 0)
+    seen = lines[:-1] - lines[solid_before[1:]]
     out[1:][newline[:-1] & (seen >= 2)] = PARAGRAPH
     # a cut stands before the solid text that follows, not inside the white space
     inside = blank & before
@@ -137,22 +150,24 @@ def text_strengths(chars: np.ndarray, blank: np.ndarray) -> np.ndarray:
     return out
 
 
-def split_text(text: str, limit: int = TEXT_LIMIT, overlap: int = TEXT_OVERLAP, least_share: float = LEAST_SHARE) -> list[tuple[int, int, int | None]]:
-    """Pieces of a text as (from, to, strength), offsets in code points of ``text``."""
+def split_text(text: str, limit: int = TEXT_LIMIT, overlap: int = TEXT_OVERLAP, least_share: float = LEAST_SHARE, block: int = BLOCK) -> Iterator[tuple[int, int, int | None]]:
+    """Pieces of a text as (from, to, strength), offsets in code points of ``text``, one by one."""
     start, end = len(text) - len(text.lstrip()), len(text.rstrip())
     if start >= end:
-        return []
+        return
     least = max(overlap + 1, int(limit * least_share))
     if end - start <= limit:
-        return [(start, end, None)]
+        yield start, end, None
+        return
     chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    margin = 64  # context before a block, so that white space before it is seen
 
     def candidates(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        part = chars[max(0, lo - margin) : hi]
-        return np.arange(lo, hi), text_strengths(part, np.isin(part, _BLANK_CODES))[lo - max(0, lo - margin) :]
+        # one character more behind the block, as a CR before an LF is no line end of its own
+        begin = read_from(chars, lo)
+        part = chars[begin : hi + 1]
+        return np.arange(lo, hi), text_strengths(part, np.isin(part, _BLANK_CODES))[lo - begin : hi - begin]
 
-    return list(cut(start, end, limit, overlap, least, StrongestCut(candidates, end, limit - least + 1)))
+    yield from cut(start, end, limit, overlap, least, StrongestCut(candidates, end, limit - least + 1, block))
 
 
 def segment_cuts(start_ms: int, end_ms: int, grid_ms: int | None, limit: int = SEGMENT_LIMIT_MS, overlap: int = SEGMENT_OVERLAP_MS, least_share: float = LEAST_SHARE) -> Iterator[tuple[int, int, int | None]]:
@@ -180,16 +195,21 @@ _SEGMENT_PIECES = "record_no long, piece_no int, start_ms long, end_ms long, cut
 
 def _text_task(limit: int, overlap: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["record_no", "piece_no", "start_character", "end_character", "cut_strength", "text"]
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+        out: list[list] = [[] for _ in names]
+        size = 0
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for no, base, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in range(batch.num_rows):
+                no, base, text = (c[row].as_py() for c in batch.columns)
                 for k, (a, b, s) in enumerate(split_text(text, limit, overlap), 1):
                     for column, value in zip(out, (no, k, base + a, base + b, s, text[a:b]), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)],
-                names=["record_no", "piece_no", "start_character", "end_character", "cut_strength", "text"],
-            )
+                    size += b - a
+                    if size >= MOST_CHARACTERS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+                        out, size = [[] for _ in names], 0
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
     return run
 

@@ -18,7 +18,7 @@ def test_range_maximum(values, data):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab,. \n。 é́", max_size=600))
 def test_pieces_are_within_the_limit_and_overlap(text):
-    pieces = split_text(text, 60, 10)
+    pieces = list(split_text(text, 60, 10))
     body = text.strip()
     assert bool(pieces) == bool(body)
     if pieces:
@@ -36,15 +36,30 @@ def test_the_strongest_boundary_is_taken_and_the_rightmost_of_equals():
     (_, cut, strength), *_ = split_text(text, 60, 5)
     assert (cut, strength) == (49, SENTENCE)
     family = "x" * 58 + "👩‍👩" + "y" * 60
-    assert split_text(family, 60, 5)[0][1] not in (59, 60)
+    assert list(split_text(family, 60, 5))[0][1] not in (59, 60)
 
 
-def test_blocks_of_the_table_do_not_change_the_cuts(monkeypatch):
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab,. \n\r。\u3000)é\u0301", max_size=900), st.integers(1, 40))
+def test_cuts_do_not_depend_on_blocks(text, block):
+    assert list(split_text(text, 60, 10, block=block)) == list(split_text(text, 60, 10, block=10**6))
+
+
+def test_long_white_space_before_a_block():
+    """Runs of white space longer than any block, with line ends in them or a sentence end before them."""
     rng = np.random.default_rng(3)
-    text = "".join(rng.choice(list("abc ., \n"), 300_000))
-    whole = split_text(text)
-    monkeypatch.setattr("shelfspark.llm.splitting.BLOCK", 1 << 20)
-    assert len(whole) > 50 and [p[:2] for p in whole] == [p[:2] for p in split_text(text)]
+    parts = ["word ", "end. ", " " * 500, "\n" + " " * 300 + "\n", "x" * 90, ", ", ".) " + "\t" * 200]
+    for _ in range(60):
+        text = "".join(rng.choice(parts, 300))
+        assert list(split_text(text, 400, 30, block=50)) == list(split_text(text, 400, 30, block=10**7))
+
+
+def test_pieces_of_a_long_text_leave_as_they_are_cut(spark):
+    """A text of several million characters beside short ones."""
+    text = "Some words of a sentence, and more. " * 120_000
+    got = text_pieces(spark.createDataFrame([(1, text, 7), (2, "short", 0)], "no long, t string, at long"), "no", "t", "at").select("record_no", "piece_no", "start_character", "end_character").collect()
+    pieces = sorted(tuple(r)[1:] for r in got if r.record_no == 1)
+    assert len(got) == len(pieces) + 1 and pieces == [(k, 7 + a, 7 + b) for k, (a, b, _) in enumerate(split_text(text), 1)]
 
 
 def test_segments():
