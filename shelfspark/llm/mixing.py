@@ -3,8 +3,9 @@
 Every document has a hash of its number. A source's documents below a threshold of that hash are a selection that needs
 no sorting, and a lower threshold selects a part of what a higher one does, so the selections of several mixes nest.
 
-1. One pass sums tokens by source and hash bucket (the top ``BUCKET_BITS`` bits). That table is small however many
-   documents there are, and a hot source is summed in the map tasks before anything moves.
+1. One pass sums tokens by source and hash bucket (the top ``BUCKET_BITS`` bits). That histogram is small however many
+   documents there are, and a hot source is summed in the map tasks before anything moves. The size of a source and of
+   all documents, and so what a source can reach, are sums over its buckets.
 2. Per mix and source, whole copies are taken while the budget exceeds the source; the running sum over the buckets
    finds the bucket in which the rest of the budget ends.
 3. Only the documents of such boundary buckets are summed again, by the next bits, and so on for ``LEVELS`` levels; the
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfspark.llm.tokens import VOCABULARY, counter
+from shelfspark.llm.tokens import VOCABULARY, counter, ship
 from shelfspark.session import as_table
 
 BUCKET_BITS = 10
@@ -39,6 +40,7 @@ def plain_source(source: Column) -> Column:
 
 def sized(documents: DataFrame, doc_id: str, text: str, source: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, tokens, hash) as a written table, so that texts are counted once."""
+    ship(documents.sparkSession, vocabulary)
     spread = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), plain_source(F.col(source)).alias("source"))
     return as_table(
         spread.select(
@@ -53,10 +55,19 @@ def _bucket(level: int) -> Column:
     return F.shiftright("hash", HASH_BITS - BUCKET_BITS * (level + 1))
 
 
-def budgets(targets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Per mix and source: budget, tokens of the source, whole copies, the rest of the budget, and whether it falls short."""
-    by_source = sizes.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("source_tokens"))
-    total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]  # one number
+def histogram(sizes: DataFrame) -> DataFrame:
+    """(source, prefix, bucket, tokens) of the first level as a written table: at most 2 ** ``BUCKET_BITS`` rows per source."""
+    first = sizes.groupBy("source", F.lit(0).cast("long").alias("prefix"), _bucket(0).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
+    return as_table(first, "histogram")
+
+
+def budgets(targets: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Per mix and source: budget, tokens of the source, whole copies, the rest of the budget, and whether it falls short.
+
+    ``buckets`` comes from :func:`histogram`.
+    """
+    by_source = buckets.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("source_tokens"))
+    total = buckets.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]  # one number
     wanted = targets.select(
         "mix_id",
         F.col("source").alias("source_as_given"),
@@ -76,17 +87,19 @@ def budgets(targets: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(wanted: DataFrame, sizes: DataFrame, levels: int = LEVELS) -> DataFrame:
+def thresholds(wanted: DataFrame, sizes: DataFrame, buckets: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Adds ``threshold``: documents of the source with a hash below it fill the rest of the budget, but for what one finest bucket holds."""
     # ``prefix`` is the boundary bucket found so far, ``left`` the budget from its first hash on
     open_rows = wanted.where("rest > 0").select("mix_id", "source", F.lit(0).cast("long").alias("prefix"), F.col("rest").alias("left"))
     for level in range(levels):
-        within = sizes.where("source is not null").withColumn("prefix", _bucket(level - 1) if level else F.lit(0).cast("long"))
         if level:
-            within = within.join(open_rows.select("source", "prefix").distinct(), ["source", "prefix"], "left_semi")
-        histogram = within.groupBy("source", "prefix", _bucket(level).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
+            # only the boundary buckets of the level before are summed again
+            within = sizes.where("source is not null").withColumn("prefix", _bucket(level - 1)).join(open_rows.select("source", "prefix").distinct(), ["source", "prefix"], "left_semi")
+            finer = within.groupBy("source", "prefix", _bucket(level).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
+        else:
+            finer = buckets.where("source is not null")
         running = W.partitionBy("mix_id", "source").orderBy("bucket")
-        steps = open_rows.join(histogram, ["source", "prefix"]).withColumn("sum", F.sum("tokens").over(running.rowsBetween(W.unboundedPreceding, 0)))
+        steps = open_rows.join(finer, ["source", "prefix"]).withColumn("sum", F.sum("tokens").over(running.rowsBetween(W.unboundedPreceding, 0)))
         # the first bucket whose running sum exceeds what is left
         open_rows = (
             steps.where("sum > left")

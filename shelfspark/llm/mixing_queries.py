@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.mixing import budgets, selection, shares, sized, thresholds
+from shelfspark.llm.mixing import budgets, histogram, selection, shares, sized, thresholds
 from shelfspark.sources.tables import spread, table
 
 
@@ -14,7 +14,8 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _planned(spark: SparkSession, sf_dir: str, sizes: DataFrame) -> DataFrame:
-    return thresholds(budgets(table(spark, sf_dir, "mix_targets"), sizes), sizes)
+    buckets = histogram(sizes)
+    return thresholds(budgets(table(spark, sf_dir, "mix_targets"), buckets), sizes, buckets)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

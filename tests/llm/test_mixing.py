@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.llm.mixing import budgets, plain_source, selection, shares, sized, thresholds
+from shelfspark.llm.mixing import budgets, histogram, plain_source, selection, shares, sized, thresholds
 
 TARGET = "mix_id string, source string, target_share double, max_repeats int, budget_ratio double"
 
@@ -18,6 +18,11 @@ def sizes(spark):
     return sized(docs.unionByName(docs.limit(3)), "doc_id", "text", "source")
 
 
+def plan(targets, sizes):
+    buckets = histogram(sizes)
+    return thresholds(budgets(targets, buckets), sizes, buckets)
+
+
 def test_spellings(spark):
     rows = spark.createDataFrame([(" Web-Page",), ("web page",), ("WEB_PAGE ",), ("",), (None,)], "s string")
     assert [r[0] for r in rows.select(plain_source(F.col("s"))).collect()] == ["web_page"] * 3 + [None, None]
@@ -25,7 +30,7 @@ def test_spellings(spark):
 
 def test_mix_meets_its_targets(spark, sizes):
     rows = [("m", "web-page", 0.5, 1, 0.4), ("m", "note", 0.3, 9, 0.4), ("m", "chat_log", 0.2, 1, 0.4), ("short", "note", 0.9, 2, 1.0), ("short", "absent", 0.1, 2, 1.0), ("nulls", "note", None, None, None)]
-    planned = thresholds(budgets(spark.createDataFrame(rows, TARGET), sizes), sizes)
+    planned = plan(spark.createDataFrame(rows, TARGET), sizes)
     report = {(r.mix_id, r.source): r for r in shares(planned, sizes).collect()}
     total = sizes.agg(F.sum("tokens")).first()[0]
     assert {k for k, r in report.items() if r.short} == {("short", "note"), ("short", "absent")}
@@ -43,7 +48,7 @@ def test_mix_meets_its_targets(spark, sizes):
 
 def test_selections_nest(spark, sizes):
     rows = [("less", "web_page", 1.0, 1, 0.1), ("more", "web_page", 1.0, 1, 0.3)]
-    taken = selection(thresholds(budgets(spark.createDataFrame(rows, TARGET), sizes), sizes), sizes)
+    taken = selection(plan(spark.createDataFrame(rows, TARGET), sizes), sizes)
     ids = {m: {r.doc_id for r in taken.where(F.col("mix_id") == m).collect()} for m in ("less", "more")}
     assert ids["less"] and ids["less"] < ids["more"]
 
@@ -51,5 +56,5 @@ def test_selections_nest(spark, sizes):
 def test_empty(spark, sizes):
     targets = spark.createDataFrame([("m", "note", 1.0, 1, 0.5)], TARGET)
     none = sizes.limit(0)
-    assert [(r.short, r.tokens_taken) for r in shares(thresholds(budgets(targets, none), none), none).collect()] == [(False, 0)]
-    assert shares(thresholds(budgets(targets.limit(0), sizes), sizes), sizes).collect() == []
+    assert [(r.short, r.tokens_taken) for r in shares(plan(targets, none), none).collect()] == [(False, 0)]
+    assert shares(plan(targets.limit(0), sizes), sizes).collect() == []
