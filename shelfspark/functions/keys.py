@@ -46,3 +46,9 @@ def fingerprint(size: Column, modified_ms: Column) -> Column:
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two 64-bit hashes given as 16 hex digits; 64 where one is missing."""
     return F.coalesce(F.bit_count(F.conv(a, 16, -10).cast("long").bitwiseXOR(F.conv(b, 16, -10).cast("long"))), F.lit(64))
+
+
+def set_token(key: Column) -> Column:
+    """A token of a set of keys, as an aggregate: it does not depend on their order, so no set is gathered in one place."""
+    number = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("decimal(38,0)")
+    return F.sum(number).cast("string")

@@ -72,24 +72,31 @@ def missing_by_file(held_rows: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def sidecars(files: DataFrame, partners: DataFrame) -> DataFrame:
-    """(path, partner): for each file the text file of the same stem that is nearest.
+    """(path, partner, steps): for each file the text file of the same stem that is nearest.
 
-    Files and partners have (path). Same folder first, then the fewest steps between both folders, then by name. Only
-    candidates of one stem meet, and of those with more than one the best is kept by aggregation, not by sorting.
+    Files and partners have (path). The fewest steps between both folders count first, then the name. A folder on the way
+    from a file to its partner lies above both, so partners are offered to all folders above them, and of each stem a
+    folder keeps the two that are nearest to it (a file is no partner of itself). Files meet them by stem and folder, so a
+    stem that thousands of files share costs a file no more than the folders above it.
     """
     left = files.select("path", stem(F.col("path")).alias("stem"), folder(F.col("path")).alias("folder")).distinct()
     right = (
         partners.select(F.col("path").alias("partner"))
         .where(extension(F.col("partner")).isin(*SIDECARS))
-        .select("partner", stem(F.col("partner")).alias("stem"), folder(F.col("partner")).alias("partner_folder"))
+        .select("partner", stem(F.col("partner")).alias("stem"), folder(F.col("partner")).alias("folder"))
         .distinct()
     )
-    a, b = F.split("folder", "/"), F.split("partner_folder", "/")
-    # parts that both folders begin with: the first position at which they differ
-    shared = F.size(F.filter(F.sequence(F.lit(1), F.least(F.size(a), F.size(b))), lambda n: F.slice(a, 1, n) == F.slice(b, 1, n)))
-    steps = F.size(a) + F.size(b) - 2 * shared
-    rank = F.struct((F.col("folder") != F.col("partner_folder")).alias("elsewhere"), steps.alias("steps"), F.col("partner").alias("partner"))
-    return left.join(right, "stem").where("path <> partner").groupBy("path").agg(F.min(rank).alias("best")).select("path", F.col("best.partner").alias("partner"), F.col("best.steps").alias("steps"))
+    # every folder above a folder, with the steps up to it
+    parts = F.split("folder", "/")
+    depth = F.size(parts)
+    above = F.explode(F.transform(F.sequence(F.lit(0), depth), lambda n: F.struct(F.concat_ws("/", F.slice(parts, 1, n)).alias("folder"), n.alias("depth"), (depth - n).alias("up"))))
+    # a folder "" of depth 1 and the start of depth 0 are two places, so the depth is part of the key
+    offers = right.select("stem", "partner", above.alias("at")).select("stem", "partner", "at.*")
+    place = F.row_number().over(W.partitionBy("stem", "folder", "depth").orderBy("up", "partner"))
+    nearest = offers.withColumn("place", place).where("place <= 2").select("stem", "folder", "depth", "partner", F.col("up").alias("down"))
+    asked = left.select("path", "stem", above.alias("at")).select("path", "stem", "at.*")
+    rank = F.struct((F.col("up") + F.col("down")).alias("steps"), F.col("partner").alias("partner"))
+    return asked.join(nearest, ["stem", "folder", "depth"]).where("path <> partner").groupBy("path").agg(F.min(rank).alias("best")).select("path", F.col("best.partner").alias("partner"), F.col("best.steps").alias("steps"))
 
 
 def stems(files: DataFrame) -> DataFrame:

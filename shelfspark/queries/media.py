@@ -59,8 +59,8 @@ def _held_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j9_missing_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments that videos lack before their last one."""
-    return video.missing_segments(_held_rows(spark, sf_dir))
+    """Segments of files that no hit has, before the last one that one has."""
+    return video.missing_segments(table(spark, sf_dir, "asset_hits").where("asset_path is not null").select(F.col("asset_path").alias("video"), "segment_index"))
 
 
 def a20_resume_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +220,7 @@ ORACLES = {
     "a6_site_stats": _SEGMENTS + """select site, count(distinct video) as videos, count(*) filter (where lane = 'visual') as visual,
   count(*) filter (where lane = 'transcript') as transcript from segments group by site""",
     "a5_totals": _LIST + "select count(*) as videos, cast(sum(visual_count) as bigint) as visual, cast(sum(transcript_count) as bigint) as transcript, max(duration) as longest from videos",
-    "j9_missing_segments": """with known as (select distinct video_key as video, segment_index from chunk_segments where segment_index >= 0
+    "j9_missing_segments": """with known as (select distinct asset_path as video, segment_index from asset_hits where segment_index >= 0 and asset_path is not null
 ), wanted as (select video, unnest(range(0, max(segment_index) + 1)) as segment_index from known group by video)
 select video, cast(segment_index as integer) as segment_index from wanted except select video, segment_index from known""",
     "a20_resume_points": """with known as (select video_key as video, coalesce(max(case when segment_index >= 0 then segment_index end), -1) as last_known,
@@ -267,6 +267,6 @@ select asset_path, chunk as chunk_seconds, chunk > 30 as stretched, cast(ceil(d
 select segment_no, case when s >= 3600 then printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) else printf('%d:%02d', s // 60 % 60, s % 60) end as clock from t""",
     "f23_hamming": """with h as (select record_no, cast(('0x' || substr(md5(vec_key), 1, 16)) as ubigint) as h from vector_records)
 select a.record_no, cast(coalesce(bit_count(xor(a.h, b.h)), 64) as integer) as bits from h a join h b on b.record_no = a.record_no - 1""",
-    "f8_spaces": r"""select count(*) as samples, regexp_replace(regexp_replace(lower(embedding_model) || '-' || embedding_dimension::varchar || '-plain-held_rows-v1', '[^a-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') as space
+    "f8_spaces": r"""select count(*) as samples, regexp_replace(regexp_replace(lower(embedding_model) || '-' || embedding_dimension::varchar || '-plain-v1', '[^a-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') as space
 from ingest_samples group by embedding_model, embedding_dimension""",
 }

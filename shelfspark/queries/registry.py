@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.queries import assets, intervals, media, performance, retrieval, shapes, streams
+from shelfspark.queries import assets, intervals, lookups, media, performance, retrieval, shapes, streams
 
-_MODULES = [intervals, retrieval, assets, media, performance, shapes, streams]
+_MODULES = [intervals, retrieval, lookups, assets, media, performance, shapes, streams]
 FLAGSHIP = "q1_asset_search"
 
 

@@ -45,10 +45,12 @@ def w3_pushdown_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w4_space_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A caller's filter on another space contradicts the space of the read: no rows, counted."""
-    other = F.col("metadata.embedding_space") != SPACE
-    found = store.scan(_records(spark, sf_dir), F.col("metadata.embedding_space"), SPACE, other)
-    return found.agg(F.count("*").alias("records"))
+    """Records of every space that a read of one space gives, and what is left of them if the caller asks for any other space."""
+    rows = _records(spark, sf_dir)
+    space = F.col("metadata.embedding_space")
+    read = store.scan(rows, space, SPACE).groupBy(space.alias("space")).agg(F.count("*").alias("records"), F.count_if(space != SPACE).alias("of_others"))
+    every = rows.where(space.isNotNull()).groupBy(space.alias("space")).agg(F.count("*").alias("held"))
+    return every.join(read, "space", "left").select("space", "held", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("of_others", F.lit(0)).alias("of_others"))
 
 
 def k1_upsert_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,8 +185,8 @@ QUERIES = {
 }
 
 _USABLE = "len({v}) = 64 and len(list_filter({v}, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter({v}, lambda x: x <> 0)) > 0"
-_SEARCHABLE = r"trim(regexp_replace(regexp_replace(lower({n}), '\.[a-z0-9]{{1,8}}$', ''), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
-_BOOSTED = (
+_SEARCHABLE = r"trim(regexp_replace(regexp_replace(lower(nfc_normalize({n})), '\.[a-z0-9]{{1,8}}$', ''), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+BOOSTED = (
     """
 named as (select *, """
     + _SEARCHABLE.format(n="asset_name")
@@ -209,8 +211,8 @@ from vector_records where metadata.embedding_space = '{SPACE}' and metadata.file
 join (select vec_key, min(record_no) as asked_at from vector_records where metadata.file_kind = 'image' and vec_key <> '' group by 1) a using (vec_key)""",
     "w3_pushdown_counts": """select coalesce(metadata.embedding_space, '') as embedding_space, coalesce(metadata.file_kind, '') as file_kind,
 coalesce(metadata.source_site, '') as source_site, count(*) as records from vector_records group by 1, 2, 3""",
-    "w4_space_isolation": f"""select count(*) as records from vector_records
-where metadata.embedding_space = '{SPACE}' and metadata.embedding_space <> '{SPACE}'""",
+    "w4_space_isolation": f"""select metadata.embedding_space as space, count(*) as held, count(*) filter (where metadata.embedding_space = '{SPACE}') as records,
+  cast(0 as bigint) as of_others from vector_records where metadata.embedding_space is not null group by 1""",
     "k1_upsert_newest": f"""select vec_key, space, record_no from (
   select *, metadata.embedding_space as space, row_number() over (partition by vec_key, metadata.embedding_space order by batch_no desc, record_no desc) as place
   from vector_records where vec_key is not null and {_USABLE.format(v="data_float32")}) where place = 1""",
@@ -253,7 +255,7 @@ from asset_hits where not isnan(score) and asset_path is not null order by score
     "t5_asset_list": """select hit_no, asset_path, modified_at from asset_hits
 order by case when isnan(modified_at) then null else modified_at end desc nulls last, asset_path, hit_no limit 500""",
     "t10_page": "select hit_no, score from asset_hits where not isnan(score) order by score desc, hit_no limit 12 offset 24",
-    "f4_lexical_boost": "with " + _BOOSTED.replace("{rows}", "asset_hits where not isnan(score)") + """
+    "f4_lexical_boost": "with " + BOOSTED.replace("{rows}", "asset_hits where not isnan(score)") + """
 select hit_no, round(boost, 6) as boost, round(greatest(score, least(1.0, score + boost)), 6) as score from lifted where boost > 0""",
     "f3_searchable_name": "select hit_no, " + _SEARCHABLE.format(n="asset_name") + " as searchable from asset_hits",
     "r1_rerank": """with hits as (select hit_no, file_size, row_number() over (order by score desc, hit_no) - 1 as position from asset_hits where not isnan(score)
@@ -267,7 +269,7 @@ select hit_no, cast(position as integer) as position, case when position % 3 = 0
 ), best as (select *, row_number() over (partition by case when file_kind = 'document' and not coalesce(legacy, false) then 'document:' || asset_path else hit_key end
     order by score desc, hit_no) as passage from lanes qualify passage = 1
 ), live as (select * from best where asset_path in (select asset_path from asset_hits where batch_no > 10)
-), """ + _BOOSTED.replace("{rows}", "live") + """, scored as (select hit_no, lane, coalesce(legacy, false) as old, round(greatest(score, least(1.0, score + boost)), 6) as score from lifted
+), """ + BOOSTED.replace("{rows}", "live") + """, scored as (select hit_no, lane, coalesce(legacy, false) as old, round(greatest(score, least(1.0, score + boost)), 6) as score from lifted
 ), capped as (select *, row_number() over (partition by old order by score desc, hit_no) as place from scored qualify not old or place <= 25)
 select hit_no, lane, score from capped order by score desc, old, hit_no limit 50""",
 }

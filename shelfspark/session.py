@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -37,10 +38,12 @@ def get_spark(app: str = "shelfspark", master: str | None = None, **conf: str) -
 def work_dir(spark: SparkSession) -> str:
     """The folder every executor shares, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is a temporary folder made and set.
+    Only where the session names none and runs on one machine (tests) is a temporary folder made and set.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors of {spark.sparkContext.master} share")
         named = "file://" + tempfile.mkdtemp(prefix="shelfspark-")
         spark.conf.set(CHECKPOINT_KEY, named)
     return named

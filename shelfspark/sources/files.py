@@ -44,7 +44,7 @@ def plain_texts(spark: SparkSession, root: str, most_bytes: int = MOST_TEXT_BYTE
     plain = rows.where(extension(F.col("path")).isin("txt", "md", "mdx", "json", "jsonl", "csv", "srt", "vtt", "ts", "tsx", "js", "jsx", "py", "html", "css"))
     problem = (
         F.when(F.col("length") > most_bytes, "too large")
-        .when(F.instr(F.hex("content"), "00") > 0, F.when(F.exists(F.split(F.regexp_replace(F.hex("content"), "(..)", "$1 "), " "), lambda b: b == "00"), "binary"))
+        .when(F.contains("content", F.lit(b"\x00")), "binary")
         .when(~F.is_valid_utf8("content"), "not UTF-8")
     )
     text = normalized_text(F.decode("content", "UTF-8"))
