@@ -50,7 +50,9 @@ LEAST_SHARE = 0.4
 #: Characters of test items that travel with one search.
 BLOCK_CHARS = 4_000_000
 #: Postings of a shard and of one of its blocks.
-SHARD_POSTINGS, BLOCK_POSTINGS = 2_000_000, 16_384
+SHARD_POSTINGS, BLOCK_POSTINGS = 1_000_000, 16_384
+#: Words that a task turns into postings at a time, or one document.
+WORDS_AT_ONCE = 200_000
 #: Words whose hashes a task keeps.
 KNOWN_WORDS = 500_000
 #: Places of items that a task looks at together.
@@ -165,31 +167,39 @@ def _shard(terms: np.ndarray, documents: np.ndarray, places: np.ndarray, block:
         yield pa.RecordBatch.from_arrays([pa.array(own[edges[:-1]]), pa.array(own[edges[1:] - 1]), *lists], names=["low", "high", "terms", "documents", "places"])
 
 
+def _post(ids: list[int], counts: list[int], hashes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, document, place) of all terms of some documents, whose words are each followed by a 0."""
+    terms, lengths = terms_of(np.array(hashes, np.uint64))
+    at = np.flatnonzero(lengths)
+    of = np.repeat(np.arange(len(ids)), counts)[at]
+    return terms[at].view(np.int64), np.array(ids, np.int64)[of], (at - np.cumsum([0, *counts])[of]).astype(np.int32)
+
+
 def _invert(shard: int, block: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
+        ids, counts, hashes = [], [], []
         for batch in batches:
-            ids, counts, hashes = [], [], []
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = hashes_of(words_of(text), known)
+            for row in range(batch.num_rows):
+                found = hashes_of(words_of(batch.column(1)[row].as_py()), known)
                 hashes += found
                 hashes.append(0)  # no term reaches into the next document
-                ids.append(doc)
+                ids.append(batch.column(0)[row].as_py())
                 counts.append(len(found) + 1)
-            if len(known) > KNOWN_WORDS:
-                known = {}
-            terms, lengths = terms_of(np.array(hashes, np.uint64))
-            at = np.flatnonzero(lengths)
-            starts = np.cumsum([0, *counts])
-            of = np.repeat(np.arange(len(ids)), counts)[at]
-            held.append((terms[at].view(np.int64), np.array(ids, np.int64)[of], (at - starts[of]).astype(np.int32)))
-            size += len(at)
-            if size >= shard:
-                yield from _shard(*(np.concatenate(c) for c in zip(*held, strict=True)), block)
-                held, size = [], 0
-        if size:
+                if len(hashes) < WORDS_AT_ONCE:
+                    continue
+                held.append(_post(ids, counts, hashes))
+                size += len(held[-1][0])
+                ids, counts, hashes = [], [], []
+                if len(known) > KNOWN_WORDS:
+                    known = {}
+                if size >= shard:
+                    yield from _shard(*(np.concatenate(c) for c in zip(*held, strict=True)), block)
+                    held, size = [], 0
+        held.append(_post(ids, counts, hashes))
+        if size + len(held[-1][0]):
             yield from _shard(*(np.concatenate(c) for c in zip(*held, strict=True)), block)
 
     return run
