@@ -14,9 +14,9 @@ from shelfspark.streaming import keyed
 
 
 def x6_interval_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Periods and gaps of the segments' videos from maps that a stream keeps, by sixteen arrivals."""
+    """Periods and gaps of the segments' videos from maps that a stream keeps, by eight arrivals."""
     rows = intervals_of(table(spark, sf_dir, "chunk_segments"), "chunk_segments", "video_key", "start_seconds", "end_seconds")
-    return keyed.streamed_periods_and_gaps(rows, micro_batches=16).withColumnRenamed("entity", "entity_key")
+    return keyed.streamed_periods_and_gaps(rows).withColumnRenamed("entity", "entity_key")
 
 
 def x5_drained_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
