@@ -61,7 +61,9 @@ def a11_provider_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact median time and files per second of each provider."""
     files = F.col("done_video") + F.col("done_image") + F.col("done_document")
     rows = _samples(spark, sf_dir).where("elapsed_ms > 0")
-    return rows.groupBy("provider_key").agg(F.median("elapsed_ms").alias("median_ms"), F.round(F.median(files / (F.col("elapsed_ms") / 1000)), 6).alias("files_per_second"))
+    times = perf.exact_medians(rows, ["provider_key"], F.col("elapsed_ms"), "median_ms").drop("count")
+    rates = perf.exact_medians(rows, ["provider_key"], files / (F.col("elapsed_ms") / 1000), "files_per_second").select(F.col("provider_key").alias("key"), F.round("files_per_second", 6).alias("files_per_second"))
+    return times.join(rates, times["provider_key"].eqNullSafe(rates["key"]), "left").drop("key")
 
 
 def a15_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +106,8 @@ def s25_valid_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a9_lineitem_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median price per piece by flag and status: the rate of the samples on a larger table."""
     rows = table(spark, sf_dir, "lineitem").where("l_quantity > 0")
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.median(F.col("l_extendedprice") / F.col("l_quantity")), 4).alias("median_price"), F.count("*").alias("items"))
+    medians = perf.exact_medians(rows, ["l_returnflag", "l_linestatus"], F.col("l_extendedprice") / F.col("l_quantity"), "median_price")
+    return medians.select("l_returnflag", "l_linestatus", F.round("median_price", 4).alias("median_price"), F.col("count").alias("items"))
 
 
 QUERIES = {

@@ -160,12 +160,13 @@ def x7_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s7_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Child folders of each folder, whether registered, and how many registered roots lie below."""
+    """Child folders of each folder above the files of hits, whether registered as a root, and how many files lie below."""
     from shelfspark.functions.paths import ancestors
 
-    roots = table(spark, sf_dir, "library_roots").select(F.col("library_root").alias("root"))
-    folders = roots.select(F.explode(ancestors(F.col("root"))).alias("child"), "root").groupBy("child").agg(F.count_distinct("root").alias("roots"), F.max((F.col("child") == F.col("root")).cast("int")).alias("registered"))
-    return folders.select(folder(F.col("child")).alias("parent"), "child", (F.col("registered") == 1).alias("registered"), "roots")
+    files = _hits(spark, sf_dir).where("asset_path like '/%'").select(F.col("asset_path").alias("path")).distinct()
+    above = files.select(F.explode(ancestors(folder(F.col("path")))).alias("child")).groupBy("child").agg(F.count("*").alias("files"))
+    roots = table(spark, sf_dir, "library_roots").select(F.col("library_root").alias("child"), F.lit(True).alias("registered"))
+    return above.join(roots, "child", "left").select(folder(F.col("child")).alias("parent"), "child", F.coalesce("registered", F.lit(False)).alias("registered"), "files")
 
 
 def s19_sidecar_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,9 +242,9 @@ select no, score, source from united order by score desc, source, no limit 60"""
   cast(count(distinct segment_index) as integer) as either from asset_hits where asset_path is not null group by 1""",
     "x7_fan_out": """select item, coalesce(metadata.file_kind, '') as file_kind, count(*) as items from (
   select 'vector' as item, metadata from vector_records union all select 'title', metadata from vector_records where metadata.title <> '') group by 1, 2""",
-    "s7_browse": """with parts as (select library_root as root, string_split(library_root, '/') as p from library_roots
-), folders as (select root, array_to_string(p[1:n], '/') as child from parts, range(2, 40) r(n) where n <= len(p))
-select regexp_replace(child, '/[^/]*$', '') as parent, child, bool_or(child = root) as registered, count(distinct root) as roots from folders group by 1, 2""",
+    "s7_browse": """with files as (select distinct asset_path, string_split(regexp_replace(asset_path, '/[^/]*$', ''), '/') as p from asset_hits where asset_path like '/%'
+), folders as (select array_to_string(p[1:n], '/') as child from files, range(2, 60) r(n) where n <= len(p))
+select regexp_replace(child, '/[^/]*$', '') as parent, child, child in (select library_root from library_roots) as registered, count(*) as files from folders group by 1, 2""",
     "s19_sidecar_text": rf"""with paths as (select asset_path as path from asset_hits where asset_path is not null union select asset_path from document_chunks where asset_path is not null
 ), a as (select path, {_STEM.format(p="path")} as stem, {_FOLDER.format(p="path")} as folder, string_split({_FOLDER.format(p="path")}, '/') as parts from paths
 ), b as (select path, {_STEM.format(p="path")} as stem, {_FOLDER.format(p="path")} as folder, string_split({_FOLDER.format(p="path")}, '/') as parts from paths

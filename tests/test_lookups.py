@@ -1,7 +1,11 @@
+import random
+from statistics import median
+
 from pyspark.sql import functions as F
 
 from shelfspark.functions.keys import set_token
 from shelfspark.operators.library import sidecars
+from shelfspark.operators.perf import exact_medians
 from shelfspark.sources.files import plain_texts
 
 
@@ -44,3 +48,14 @@ def test_binary_files_are_told_by_a_nul(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes(b"te\x00xt")
     (tmp_path / "c.txt").write_bytes(b"p0 00 \xc3\xb0")
     assert {r.path.rpartition("/")[2]: r.problem for r in plain_texts(spark, str(tmp_path)).collect()} == {"a.txt": None, "b.txt": "binary", "c.txt": None}
+
+
+def test_exact_medians_of_groups_of_any_size(spark):
+    rng = random.Random(4)
+    groups = {"hot": [rng.lognormvariate(3, 2) for _ in range(20_000)], "ties": [5.0] * 300 + [1.0] * 299 + [9.0], "even": [1.0, 2.0, 3.0, 10.0], "one": [7.0], "two": [1.0, 4.0], None: [3.0, 1.0, 2.0]}
+    groups |= {f"n{n}": [float(rng.randrange(50)) for _ in range(n)] for n in range(995, 1006)}
+    rows = [(k, v) for k, values in groups.items() for v in values] + [("hot", None), ("hot", float("nan")), ("empty", None)]
+    df = spark.createDataFrame(rows, "k string, v double").selectExpr("k", "v", "1 as count", "2 as b")
+    got = {r.k: (r.m, r["count"]) for r in exact_medians(df, ["k"], F.col("v"), "m").collect()}
+    assert got == {k: (median(values), len(values)) for k, values in groups.items()}
+    assert exact_medians(df.limit(0), ["k"], F.col("v"), "m").collect() == []
