@@ -51,6 +51,10 @@ LEAST_SHARE = 0.4
 BLOCK_CHARS = 4_000_000
 #: Postings of a shard and of one of its blocks.
 SHARD_POSTINGS, BLOCK_POSTINGS = 1_000_000, 16_384
+#: Blocks of a row group of the index. Readers decode a row group at once, so this bounds their memory: 16 times 16,384 postings of 20 bytes.
+GROUP_BLOCKS = 16
+#: Bytes of a row group of the postings of test terms, whose rows are documents of any length.
+GROUP_BYTES = 8 << 20
 #: Words that a task turns into postings at a time, or one document.
 WORDS_AT_ONCE = 200_000
 #: Words whose hashes a task keeps.
@@ -153,14 +157,16 @@ class TestTerms:
 
 
 INDEX = "low long, high long, terms array<long>, documents array<long>, places array<int>"
+#: A dictionary would make the terms of a small row group larger, as most of them stand there once.
+INDEX_OPTIONS = {"compression": "zstd", "parquet.block.row.count.limit": GROUP_BLOCKS, "parquet.enable.dictionary#terms.list.element": "false"}
 
 
 def _shard(terms: np.ndarray, documents: np.ndarray, places: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
     """The sorted blocks of a shard, in batches of a few MB."""
     order = np.argsort(terms, kind="stable")
     terms, documents, places = terms[order], documents[order], places[order]
-    for lo in range(0, len(terms), 16 * block):
-        part = slice(lo, lo + 16 * block)
+    for lo in range(0, len(terms), GROUP_BLOCKS * block):
+        part = slice(lo, lo + GROUP_BLOCKS * block)
         own = terms[part]
         edges = np.append(np.arange(0, len(own), block), len(own)).astype(np.int32)
         lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(c)) for c in (own, documents[part], places[part])]
@@ -209,7 +215,7 @@ def build_index(documents: DataFrame, doc_id: str, text: str, shard_postings: in
     """The positional postings of all terms of all documents, as a written table of sorted blocks."""
     whole = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and length(text) > 0")
     path = fresh_path(documents.sparkSession, "postings")
-    whole.mapInArrow(_invert(shard_postings, block_postings), INDEX).write.option("compression", "zstd").parquet(path)
+    whole.mapInArrow(_invert(shard_postings, block_postings), INDEX).write.options(**INDEX_OPTIONS).parquet(path)
     return documents.sparkSession.read.schema(INDEX).parquet(path)
 
 
@@ -238,7 +244,7 @@ def postings(index: DataFrame, tests: TestTerms) -> DataFrame:
     hits = inside.mapInArrow(run, "term long, doc_id long, place int")
     # a document that comes twice has its postings twice, and is one document
     lists = hits.groupBy("doc_id").agg(F.collect_set(F.struct("term", "place")).alias("hits"))
-    return as_table(lists.select("doc_id", F.col("hits.term").alias("terms"), F.col("hits.place").alias("places")), "test-postings")
+    return as_table(lists.select("doc_id", F.col("hits.term").alias("terms"), F.col("hits.place").alias("places")), "test-postings", **{"parquet.block.size": GROUP_BYTES})
 
 
 def document_frequency(lists: DataFrame) -> DataFrame:

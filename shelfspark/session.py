@@ -87,10 +87,10 @@ def ensure_importable(spark: SparkSession) -> None:
     _importable.add(context.applicationId)
 
 
-def as_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def as_table(df: DataFrame, name: str, partition_by: list[str] | None = None, **options: int) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: lineage ends there and a lost executor loses nothing."""
     path = fresh_path(df.sparkSession, name)
-    writer = df.write.mode("errorifexists")
+    writer = df.write.mode("errorifexists").options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

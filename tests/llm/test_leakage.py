@@ -1,8 +1,9 @@
 import random
 
+import pyarrow.parquet as pq
 import pytest
 
-from shelfspark.llm.leakage import build_index, leaks, words_of, worded_items
+from shelfspark.llm.leakage import GROUP_BLOCKS, build_index, leaks, words_of, worded_items
 
 
 def found(spark, docs, items, **options):
@@ -73,6 +74,14 @@ def test_blocks_of_items_and_shards_change_nothing(spark, case):
         assert {(r.item_id, r.doc_id) for r in got} == wanted and len(got) == len(wanted)
 
 
+def test_row_groups_of_the_index_are_bounded(spark):
+    """What a reader decodes at once does not grow with what a task has written."""
+    index = build_index(spark.createDataFrame([(1, passage(random.Random(4), 3000))], DOC).coalesce(1), "doc_id", "text", 10**6, 10)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    sizes = [f.row_group(k).num_rows for f in files for k in range(f.num_row_groups)]
+    assert sum(sizes) == 300 and max(sizes) <= GROUP_BLOCKS
+
+
 def test_shared_leads_have_any_length(spark):
     lead = " ".join(f"lead{k}" for k in range(200))
     items = [(k, f"{lead} own{k} text") for k in range(5)] + [(7, lead), (8, f"{lead} own0")] + [(9, "lead0 lead1 other"), (10, "")]
