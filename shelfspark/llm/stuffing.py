@@ -17,7 +17,8 @@ or stuffed units, and enough of those characters lie in repeats of ``SHORT`` cha
 clauses that do not repeat themselves are no spam, nor are texts of clauses however often they repeat themselves.
 
 The automaton is built only where loose and crowded units make up most of the page: no other page can be spam, as stuffed
-units are crowded. A page is not read on once its clauses make up more than the rest can. Very long pages get one automaton for each ``STRETCH`` characters, so memory does not grow with them.
+units are crowded. A page is not read on once its clauses make up more than the rest can. On pages of more than
+``STRETCH`` characters the same repeats are found without the automaton, which would take some hundred bytes for each.
 Time marks, the counters of subtitles, marks at the beginning of lines, tags without address and entities are layout.
 
 Null, empty and blank texts are no spam. Each page is looked at by itself and whole, whatever its length; rows that come
@@ -47,6 +48,7 @@ MIXED = 0.05
 #: Share of a crowded clause that its word makes up.
 CROWDED = 0.12
 LEAST_WORDS, MOST_WORDS, RUNNING = 5, 60, 20
+#: Characters of a page up to which it gets an automaton; what is marked is the same beyond.
 STRETCH = 1 << 17
 #: Characters of scripts without spaces for one word.
 PER_WORD = 1.6
@@ -135,6 +137,32 @@ def covered(longest: np.ndarray, least: int) -> np.ndarray:
     return np.minimum.accumulate(begins[::-1])[::-1] <= at
 
 
+def windows(codes: np.ndarray, least: int) -> np.ndarray:
+    """``covered(repeats(codes), least)`` in some thirty bytes for each code.
+
+    Each repeat of more than ``least`` is made of repeats of just ``least``, so what stands twice of that length is marked.
+    Equal strings get equal numbers, from those of two shorter ones that overlap or touch.
+    """
+    inside = np.zeros(len(codes), bool)
+    if len(codes) <= least:
+        return inside
+    numbers, length = codes.astype(np.int32), 1
+    while length < least:
+        step = min(length, least - length)
+        pairs = numbers[:-step].astype(np.int64)
+        pairs <<= 32
+        pairs |= numbers[step:]
+        order = np.argsort(pairs)
+        pairs = pairs[order]
+        numbers = np.zeros(len(order), np.int32)
+        numbers[order[1:]] = np.cumsum(pairs[1:] != pairs[:-1], dtype=np.int32)
+        length += step
+    twice = np.bincount(numbers)[numbers] > 1
+    for k in range(least):
+        inside[k : k + len(twice)] |= twice
+    return inside
+
+
 def _is_crowded(words: list[str], size: int, wide: bool) -> bool:
     if wide:
         words = [a + b for a, b in zip(words[:-1], words[1:], strict=True) if a >= _FIRST_CJK and b >= _FIRST_CJK]
@@ -214,10 +242,12 @@ def measures(text: str) -> tuple[int, float | None, float | None, float | None,
     wide = ((codes >= ord(_FIRST_CJK)) & (codes < 0xFFDD) & solid).sum() / total
     cjk = bool(wide > 0.3)
     loose, crowded = solid & (kinds == LOOSE), solid & (kinds == CROWDED_CLAUSE)
-    stretches = [slice(k, k + STRETCH) for k in range(0, len(text), STRETCH)]
-    longest = [repeats(text[s]) for s in stretches]
-    long = np.concatenate([covered(found, LONG_CJK if cjk else LONG) for found in longest])
-    again = np.concatenate([covered(found, SHORT_CJK if wide > MIXED else SHORT) for found in longest])
+    least = (LONG_CJK if cjk else LONG, SHORT_CJK if wide > MIXED else SHORT)
+    if len(text) > STRETCH:
+        long, again = (windows(codes, n) for n in least)
+    else:
+        longest = repeats(text)
+        long, again = (covered(longest, n) for n in least)
     stuffed = np.zeros(len(text), bool)
     for begin, end, kind in parts:
         if kind == CROWDED_CLAUSE and 2 * long[begin:end].sum() >= end - begin:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -28,6 +29,13 @@ def test_longest_repeats(tokens):
     assert set(covered(longest, 2).nonzero()[0].tolist()) == marked
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab滤\U0010ffff", max_size=40), st.integers(1, 18))
+def test_repeats_without_the_automaton(text, least):
+    codes = np.array([ord(c) for c in text], "<u4")
+    assert stuffing.windows(codes, least).tolist() == covered(repeats(text), least).tolist()
+
+
 def pages():
     rng = random.Random(2)
     words = ["ring light", "cable adapter", "memory card", "slide scanner"]
@@ -111,3 +119,16 @@ def test_long_pages_are_read_in_stretches(monkeypatch):
     assert loose == 1 and again > 0.9
     tag = f"<div class='{'x ' * 2000}'>" + prose(random.Random(1), 3) + "</div>"
     assert measures(tag)[1] is None
+
+
+def test_repeats_may_stand_far_apart(monkeypatch):
+    """What a page repeats does not depend on how long it is."""
+    rng = random.Random(3)
+    once = "\n".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(2 * stuffing.STRETCH // 10))
+    assert measures(once)[3] < 0.05
+    far = measures(f"{once}\n{once}")
+    assert far[1] == 1 and far[3] > 0.99
+    spam, fine = ([t for t in part.values() if t] for part in pages())
+    by_automaton = [measures(t) for t in spam + fine]
+    monkeypatch.setattr(stuffing, "STRETCH", 10)
+    assert [measures(t) for t in spam + fine] == by_automaton
